@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, pii, sharding
+from weftline.llm import decontaminate, exact_dedup, pii, sharding
 
 QUERIES = {
     "op3_stratified_shards": sharding.query,
+    "op7_benchmark_windows": decontaminate.query,
     "op8_pii_spans": pii.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
     "op3_stratified_shards": sharding.ORACLE,
+    "op7_benchmark_windows": decontaminate.ORACLE,
     "op8_pii_spans": pii.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
