@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, exact_dedup, pii, sharding
+from weftline.llm import decontaminate, exact_dedup, pii, sharding, simhash
 
 QUERIES = {
     "op3_stratified_shards": sharding.query,
+    "op4_simhash_near_dedup": simhash.query,
     "op7_benchmark_windows": decontaminate.query,
     "op8_pii_spans": pii.query,
     "op10_exact_dedup": exact_dedup.query,
