@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, exact_dedup, pii, sharding, simhash
+from weftline.llm import decontaminate, exact_dedup, pii, sharding, simhash, token_counts, token_output
 
 QUERIES = {
+    "op1_token_attribution": token_counts.query,
     "op3_stratified_shards": sharding.query,
     "op4_simhash_near_dedup": simhash.query,
+    "op6_orc_token_ids": token_output.query,
     "op7_benchmark_windows": decontaminate.query,
     "op8_pii_spans": pii.query,
     "op10_exact_dedup": exact_dedup.query,
