@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, exact_dedup, pii, sharding, simhash, token_counts, token_output
+from weftline.llm import decontaminate, exact_dedup, pii, quality, sharding, simhash, token_counts, token_output
 
 QUERIES = {
     "op1_token_attribution": token_counts.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_orc_token_ids": token_output.query,
     "op7_benchmark_windows": decontaminate.query,
     "op8_pii_spans": pii.query,
+    "op9_factorisation_machine": quality.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
