@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, exact_dedup, pii, quality, sharding, simhash, token_counts, token_output
+from weftline.llm import decontaminate, exact_dedup, pii, quality, sentencepiece_lattice, sharding, simhash, token_counts, token_output
 
 QUERIES = {
     "op1_token_attribution": token_counts.query,
+    "op2_sentencepiece_lattice": sentencepiece_lattice.query,
     "op3_stratified_shards": sharding.query,
     "op4_simhash_near_dedup": simhash.query,
     "op6_orc_token_ids": token_output.query,
