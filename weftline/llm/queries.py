@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, exact_dedup, pii, quality, sentencepiece_lattice, sharding, simhash, token_counts, token_output
+from weftline.llm import decontaminate, exact_dedup, line_dedup, pii, quality, sentencepiece_lattice, sharding, simhash, token_counts, token_output
 
 QUERIES = {
     "op1_token_attribution": token_counts.query,
     "op2_sentencepiece_lattice": sentencepiece_lattice.query,
     "op3_stratified_shards": sharding.query,
     "op4_simhash_near_dedup": simhash.query,
+    "op5_fuzzy_line_dedup": line_dedup.query,
     "op6_orc_token_ids": token_output.query,
     "op7_benchmark_windows": decontaminate.query,
     "op8_pii_spans": pii.query,
