@@ -9,15 +9,29 @@ whole. Either way every id comes from the tokenizers library.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Words that a worker remembers before it starts anew; about 150 bytes each.
+#: Words that a worker remembers in each of two generations; about 250 bytes each.
 MEMO_WORDS = 300_000
 #: Longer words are encoded each time and not remembered.
 MEMO_LENGTH = 64
 
 
+def _parts(texts: list[str], size: int = 4_000_000) -> Iterator[list[str]]:
+    """``texts`` in order, in lists of about ``size`` characters."""
+    part, n = [], 0
+    for text in texts:
+        part.append(text)
+        n += len(text)
+        if n >= size:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 class WordEncoder:
     """Encodes batches of texts to bytes of little-endian unsigned 32-bit ids."""
 
@@ -29,42 +43,61 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo_words = memo_words
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._lengths: np.ndarray | None = None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        begin = 0
-        while begin < len(texts):  # a few MB at a time, as encodings are far larger than their texts
-            end, size = begin, 0
-            while end < len(texts) and (end == begin or size + len(texts[end]) < 4_000_000):
-                size += len(texts[end])
-                end += 1
-            found = self.tokenizer.encode_batch_fast(texts[begin:end], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in found]
-            begin = end
+        for part in _parts(texts):  # a few MB at a time, as encodings are far larger than their texts
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a leading space each, none of them empty: many are encoded as one text and cut by length."""
+        out: list[bytes] = []
+        for part in _parts(words):
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter((1 + len(w.encode("utf-8", "surrogatepass")) for w in part), np.int64, len(part)))
+            bounds = np.append(0, np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1).tolist()
+            data = memoryview(ids.tobytes())
+            out += [bytes(data[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null and empty texts have none."""
         if len(self.memo) > self.memo_words:
-            self.memo.clear()
-        memo, plain, whole = self.memo, [], []
-        for i, text in enumerate(texts):
-            if text:
-                (whole if "  " in text else plain).append(i)
-        cuts = {i: texts[i].split(" ") for i in plain}
-        fresh: dict[str, bytes] = {}
-        unknown = {w for c in cuts.values() for w in c[1:] if w not in memo}
-        firsts = {c[0] for c in cuts.values()}
-        words = list(unknown)
-        for w, ids in zip(words, self._encode([" " + w for w in words]), strict=True):
-            (memo if len(w) <= MEMO_LENGTH else fresh)[w] = ids
-        words = list(firsts)
-        first = dict(zip(words, self._encode(words), strict=True))
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        whole = [i for i, text in enumerate(texts) if text and "  " in text]
+        plain = [i for i, text in enumerate(texts) if text and "  " not in text]
+        firsts: list[str] = []
+        found: list[list[bytes | None]] = []
+        unknown: dict[str, None] = {}
+        words_of = []
+        for i in plain:
+            first, *words = texts[i].split(" ")
+            ids = list(map(memo.get, words))
+            if None in ids:
+                for k, x in enumerate(ids):
+                    if x is None:
+                        w = words[k]
+                        if w in older:
+                            ids[k] = memo[w] = older[w]
+                        else:
+                            unknown[w] = None
+            firsts.append(first)
+            found.append(ids)
+            words_of.append(words)
+        spaced = [w for w in unknown if w]
+        fresh = dict(zip(spaced, self._encode_words(spaced), strict=True))
+        if "" in unknown:
+            fresh[""] = self._encode([" "])[0]
+        memo.update((w, ids) for w, ids in fresh.items() if len(w) <= MEMO_LENGTH)
         out = [b""] * len(texts)
-        for i, c in cuts.items():
-            rest = map(memo.__getitem__, c[1:]) if not fresh else (memo[w] if w in memo else fresh[w] for w in c[1:])
-            out[i] = first[c[0]] + b"".join(rest)
+        for i, first, ids, words in zip(plain, self._encode(firsts), found, words_of, strict=True):
+            if None in ids:
+                ids = [fresh[w] if x is None else x for x, w in zip(ids, words, strict=True)]
+            out[i] = first + b"".join(ids)
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
