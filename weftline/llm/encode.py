@@ -45,6 +45,7 @@ class WordEncoder:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self._lengths: np.ndarray | None = None
+        self._space = self._encode([" "])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -70,34 +71,24 @@ class WordEncoder:
         memo, older = self.memo, self.older
         whole = [i for i, text in enumerate(texts) if text and "  " in text]
         plain = [i for i, text in enumerate(texts) if text and "  " not in text]
-        firsts: list[str] = []
-        found: list[list[bytes | None]] = []
-        unknown: dict[str, None] = {}
-        words_of = []
-        for i in plain:
-            first, *words = texts[i].split(" ")
-            ids = list(map(memo.get, words))
-            if None in ids:
-                for k, x in enumerate(ids):
-                    if x is None:
-                        w = words[k]
-                        if w in older:
-                            ids[k] = memo[w] = older[w]
-                        else:
-                            unknown[w] = None
-            firsts.append(first)
-            found.append(ids)
-            words_of.append(words)
-        spaced = [w for w in unknown if w]
-        fresh = dict(zip(spaced, self._encode_words(spaced), strict=True))
-        if "" in unknown:
-            fresh[""] = self._encode([" "])[0]
-        memo.update((w, ids) for w, ids in fresh.items() if len(w) <= MEMO_LENGTH)
+        cuts = [texts[i].split(" ") for i in plain]
+        firsts = self._encode([c[0] for c in cuts])
+        for c in cuts:
+            c[0] = ""
+        unknown = set().union(*cuts).difference(memo)
+        memo.update([(w, older[w]) for w in unknown if w in older])
+        unknown = unknown.difference(older)
+        unknown.discard("")
+        spaced = list(unknown)
+        memo.update(zip(spaced, self._encode_words(spaced), strict=True))
+        memo[""] = self._space
         out = [b""] * len(texts)
-        for i, first, ids, words in zip(plain, self._encode(firsts), found, words_of, strict=True):
-            if None in ids:
-                ids = [fresh[w] if x is None else x for x, w in zip(ids, words, strict=True)]
-            out[i] = first + b"".join(ids)
+        for i, first, c in zip(plain, firsts, cuts, strict=True):
+            del c[0]
+            out[i] = first + b"".join(map(memo.__getitem__, c))
+        for w in unknown:
+            if len(w) > MEMO_LENGTH:
+                del memo[w]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
