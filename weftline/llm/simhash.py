@@ -123,9 +123,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose id names their component; one document of each group stays."""
-    heads = near_duplicates(docs, id_col, text_col, **options).select(F.col("component_id").alias("__head")).distinct()
-    return docs.join(heads, F.col(id_col).eqNullSafe(F.col("__head")), "left_semi")
+    """The rows of ``docs``, with their columns, whose id names their component: one document of each group stays.
+
+    Only the ids of the documents that go are joined, so that few copies make a small join. Rows without an id stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
 
 
 def query(spark, sf_dir):
