@@ -270,12 +270,16 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
         raise ValueError("there is a column named decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for ids in batch.column(batch.schema.names.index(ids_col)).to_pylist():
-                text = None if ids is None else b"".join(map(spelled.__getitem__, ids)).decode("utf-8", "replace")
-                texts.append(text[1:] if text and text[0] == " " else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                ids = batch.column(batch.schema.names.index(ids_col))
+                values, bounds, known = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist(), ids.is_valid().to_pylist()
+                texts = []
+                for k, there in enumerate(known):  # one document's ids at a time are Python numbers
+                    text = b"".join(map(spelled.__getitem__, values[bounds[k] : bounds[k + 1]].tolist())).decode("utf-8", "replace") if there else None
+                    texts.append(text[1:] if text and text[0] == " " else text)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, encoded.withColumn("decoded", F.lit(None).cast("string")).schema)
 
