@@ -9,7 +9,7 @@ whole. Either way every id comes from the tokenizers library.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -32,6 +32,32 @@ def _parts(texts: list[str], size: int = 4_000_000) -> Iterator[list[str]]:
         yield part
 
 
+class Memory:
+    """Values of words, computed together when they are new, kept in two generations of bounded size.
+
+    ``fixed`` words are always known. Words of more than ``MEMO_LENGTH`` characters are computed each time.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], fixed: dict[str, bytes], size: int):
+        self.compute, self.fixed, self.size = compute, fixed, size
+        self.now, self.older = dict(fixed), {}
+
+    def join(self, texts: list[list[str]]) -> list[bytes]:
+        """For each list of words, their values end to end."""
+        if len(self.now) > self.size + len(self.fixed):
+            self.older, self.now = self.now, dict(self.fixed)
+        now, older = self.now, self.older
+        unknown = set().union(*texts).difference(now)
+        now.update([(w, older[w]) for w in unknown if w in older])
+        fresh = list(unknown.difference(older))
+        now.update(zip(fresh, self.compute(fresh), strict=True))
+        out = [b"".join(map(now.__getitem__, words)) for words in texts]
+        for w in fresh:
+            if len(w) > MEMO_LENGTH:
+                del now[w]
+        return out
+
+
 class WordEncoder:
     """Encodes batches of texts to bytes of little-endian unsigned 32-bit ids."""
 
@@ -41,11 +67,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo_words = memo_words
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self._lengths: np.ndarray | None = None
-        self._space = self._encode([" "])[0]
+        self.memory = Memory(self._encode_words, {"": self._encode([" "])[0]}, memo_words)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -66,29 +89,13 @@ class WordEncoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null and empty texts have none."""
-        if len(self.memo) > self.memo_words:
-            self.older, self.memo = self.memo, {}
-        memo, older = self.memo, self.older
         whole = [i for i, text in enumerate(texts) if text and "  " in text]
         plain = [i for i, text in enumerate(texts) if text and "  " not in text]
         cuts = [texts[i].split(" ") for i in plain]
-        firsts = self._encode([c[0] for c in cuts])
-        for c in cuts:
-            c[0] = ""
-        unknown = set().union(*cuts).difference(memo)
-        memo.update([(w, older[w]) for w in unknown if w in older])
-        unknown = unknown.difference(older)
-        unknown.discard("")
-        spaced = list(unknown)
-        memo.update(zip(spaced, self._encode_words(spaced), strict=True))
-        memo[""] = self._space
+        firsts = self._encode([c.pop(0) for c in cuts])
         out = [b""] * len(texts)
-        for i, first, c in zip(plain, firsts, cuts, strict=True):
-            del c[0]
-            out[i] = first + b"".join(map(memo.__getitem__, c))
-        for w in unknown:
-            if len(w) > MEMO_LENGTH:
-                del memo[w]
+        for i, first, rest in zip(plain, firsts, self.memory.join(cuts), strict=True):
+            out[i] = first + rest
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out

@@ -16,16 +16,18 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.encode import vocabulary
+from weftline.llm.encode import Memory, vocabulary
 from weftline.llm.shared import documents, text_or_empty, written
 
 SPACE = "▁"
@@ -35,9 +37,11 @@ WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 HEAVY_WORDS = 500_000
 #: Longer words are folded where they stand.
 HEAVY_LENGTH = 32
-#: Rare words that a task remembers before it starts anew.
+#: Rare words that a task remembers in each of two generations.
 MEMO_WORDS = 200_000
 BATCH = 256
+#: What this process remembers for the dictionary at hand.
+_MEMORIES: dict[str, Memory] = {}
 
 
 @dataclass
@@ -93,6 +97,28 @@ class Vocabulary:
         return out
 
     def _merged(self, word: str) -> list[str]:
+        if len(word) > 64:
+            return self._merged_by_queue(word)
+        rank, none = self.ranks.get, len(self.pieces)
+        parts = list(word)
+        ranks = [rank(a + b, none) for a, b in pairwise(parts)]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)  # the leftmost of equals
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], none)
+        return parts
+
+    @cached_property
+    def ranks(self) -> dict[str, int]:
+        """The order in which pieces merge: best score first, equal scores equal."""
+        order = {score: k for k, score in enumerate(sorted({s for _, s in self.pieces.values()}, reverse=True))}
+        return {p: order[s] for p, (_, s) in self.pieces.items()}
+
+    def _merged_by_queue(self, word: str) -> list[str]:
         symbols: list[str | None] = list(word)
         after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
         queue: list[tuple[float, int, str]] = []
@@ -233,26 +259,20 @@ def encode(
     heavy = encode_words(heavy_vocabulary(docs, text_col, heavy_words, heavy_length), vocab)
     known = {r.word: np.array(r.ids, "<i4").tobytes() for r in heavy.collect()}  # at most heavy_words
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words_of = re.compile(WORD).findall
+    words_of, token = re.compile(WORD).findall, uuid.uuid4().hex
+
+    def folded(words: list[str]) -> list[bytes]:
+        return [np.array(vocab.fold(w), "<i4").tobytes() for w in words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, bytes] = {}
+        if token not in _MEMORIES:
+            _MEMORIES.clear()
+            _MEMORIES[token] = Memory(folded, known, MEMO_WORDS)
+        memory = _MEMORIES[token]
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                out = []
-                for text in batch.column(1).to_pylist():
-                    parts = []
-                    for w in words_of(SPACE + text.replace(" ", SPACE)) if text else ():
-                        ids = known.get(w) or memo.get(w)
-                        if ids is None:
-                            ids = np.array(vocab.fold(w), "<i4").tobytes()
-                            if len(w) <= 2 * HEAVY_LENGTH:
-                                memo[w] = ids
-                        parts.append(ids)
-                    out.append(b"".join(parts))
+                out = memory.join([words_of(SPACE + t.replace(" ", SPACE)) if t else [] for t in batch.column(1).to_pylist()])
                 offsets = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(out), "<i4"))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
