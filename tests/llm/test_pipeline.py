@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-from itertools import combinations
 
 import sentencepiece
 from test_lines import plain as plain_lines
-from test_near_dedup import plain_components, plain_print
+from test_near_copies import plain_kept
 
 import corpus_pipeline
 from weftline.llm import quality
@@ -38,9 +37,7 @@ def test_stages(spark, tmp_path):
     assert {i: r.text for i, r in lined.items()} == want
     assert all(r.n_chars == len(r.text) for r in lined.values())
 
-    prints = {i: plain_print(r.text) for i, r in lined.items()}
-    groups = plain_components(prints, [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 3])
-    assert set(single) == set(groups.values())
+    assert set(single) == plain_kept({i: r.text for i, r in lined.items()})
 
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = set()
@@ -53,3 +50,22 @@ def test_stages(spark, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
     assert {i: r.ids for i, r in coded.items()} == {i: library.encode(r.text) for i, r in clean.items()}
     assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()} == {i: r.ids for i, r in coded.items()}
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, and an empty table go through all stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r.text for r in docs.orderBy("doc_id").limit(6).collect()]
+    odd = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, None), (2, None), (3, ""), (3, ""), (4, "\n\n"), (5, texts[3]), (6, texts[3])]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t) if t else 0) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars int")
+    for name, table in (("odd", rows), ("none", rows.limit(0))):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            table = stage(spark, table, SF)
+            table.write.parquet(str(tmp_path / f"{name}{k}"))
+            table = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+        got = [(r.doc_id, r.n_tokens) for r in table.collect()]
+        if name == "none":
+            assert got == []
+        else:
+            assert not {i for i, _ in got} - {i for i, _ in odd}
+            assert len([i for i, _ in got if i in (5, 6)]) <= 1

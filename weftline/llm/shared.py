@@ -36,6 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers, or elements of arrays in rows, that may be sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(table: DataFrame, weight: Column | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if its rows (or their sum of ``weight``) are at most ``most``; else for an ordinary join."""
+    size = table.agg(F.count("*") if weight is None else F.sum(weight)).first()[0] or 0
+    return F.broadcast(table) if size <= most else table
+
+
 def text_or_empty(name: str) -> Column:
     """The text column, with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
