@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.arrays import bound, running
 from weftline.functions.text import line_number, tokens
 
 CONTEXT, MAX_LENGTH = 50, 500
@@ -16,15 +17,13 @@ def keyword_spans(text: Column, question: Column) -> Column:
     lowered = F.lower(text)
 
     def places(word: Column) -> Column:
-        pieces = F.split(lowered, word, -1)
-        start = F.struct(F.lit(0).alias("at"), F.expr(_SPANS).alias("found"))
+        def spans(pieces: Column) -> Column:
+            before = running(F.transform(pieces, lambda p: F.length(p) + F.length(word)), lambda a, x: a + x)
+            begins = F.zip_with(before, pieces, lambda at, piece: at + F.length(piece))
+            found = F.transform(begins, lambda begin: F.struct(begin.alias("start"), (begin + F.length(word)).alias("end")))
+            return F.slice(found, F.lit(1), F.size(pieces) - 1)
 
-        def step(acc: Column, piece: Column) -> Column:
-            begin = acc["at"] + F.length(piece)
-            end = begin + F.length(word)
-            return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(begin.alias("start"), end.alias("end"))).alias("found"))
-
-        return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step)["found"]
+        return bound(F.split(lowered, word, -1), spans)
 
     return F.array_sort(F.flatten(F.transform(F.array_distinct(tokens(question)), places)))
 
@@ -32,12 +31,18 @@ def keyword_spans(text: Column, question: Column) -> Column:
 def merge_spans(spans: Column) -> Column:
     """Sorted spans with those that touch or overlap as one."""
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
-        return F.when((F.size(acc) > 0) & (s["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), joined).otherwise(F.array_append(acc, s))
+    def islands(all_: Column, reach: Column) -> Column:
+        n = F.size(all_)
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(all_, i)["start"] > F.get(reach, i)))
+        ends = bound(first, lambda f: F.transform(f, lambda i, k: F.coalesce(F.get(f, k + 1), n)))  # where the next one starts
+        whole = F.zip_with(first, ends, lambda i, end: F.struct(F.get(all_, i)["start"].alias("start"), F.get(reach, end).alias("end")))
+        return F.when(n > 0, whole).otherwise(F.expr(_SPANS))
+
+    def merged(all_: Column) -> Column:
+        ends = F.array_append(F.transform(all_, lambda s: s["end"]), F.lit(0))  # so that the last reach is that of all
+        return bound(running(ends, F.greatest), lambda reach: islands(all_, reach))
 
-    return F.aggregate(spans, F.expr(_SPANS), step)
+    return bound(spans, merged)
 
 
 def highlights(text: Column, question: Column) -> Column:

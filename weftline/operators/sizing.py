@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -17,8 +18,10 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as it is now, kept in the folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
+    """``df`` as it is now, kept in the folder of ``spark.checkpoint.dir``; where that is unset, in a temporary one of a session in one process."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
     return df.checkpoint()
