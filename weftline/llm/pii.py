@@ -2,7 +2,7 @@
 
 DataFrame functions only, one row in and one row out, no shuffle. A span's place follows from the text between matches:
 ``split`` gives the pieces and ``regexp_extract_all`` the matches, both by one left-to-right scan, and a fold adds
-their lengths. The patterns are possessive and start only where the scan ended before (``\\G``) or after a character
+their lengths, block by block, so that a text of many thousand matches takes linear time. The patterns are possessive and start only where the scan ended before (``\\G``) or after a character
 outside the leading class. That changes no match - an earlier start in the same run would have matched - but makes the
 scan linear even on megabytes of unbroken digits or letters, and keeps Java's matcher off its stack.
 """
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.arrays import blocks, bound, running
 from weftline.llm.shared import documents, text_or_empty
 
 #: Characters before a span that are searched for context words.
@@ -92,28 +93,39 @@ KINDS = (
 _EMPTY = "CAST(array() AS array<struct<start:int,rank:int,end:int,kind:string,score:int>>)"
 
 
-def spans_of(text: Column, rank: int, kind: Kind) -> Column:
-    """The confirmed spans of one kind: array of (start, rank, end, kind, score), in code points, end exclusive."""
-    placed = F.lit(None).cast("array<struct<start:int,end:int,found:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(placed, F.expr("CAST(array() AS array<struct<start:int,end:int,found:string>>)")).alias("found"))
+_FOUND = "CAST(array() AS array<struct<start:int,end:int,found:string,near:string>>)"
+
+
+def _placed(text: Column, parts: Column) -> Column:
+    """(start, end, found, near) of all matches; ``parts`` has (piece, match) in blocks, each folded from where it starts."""
+    lengths = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda n, p: n + F.length(p["piece"]) + F.coalesce(F.length(p["match"]), F.lit(0))))
 
     def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["piece"])
+        begin, before = acc["at"] + F.length(pair["piece"]), F.right(F.concat(acc["tail"], pair["piece"]), F.lit(CONTEXT_CHARS))
         end = begin + F.length(pair["match"])
-        span = F.struct(begin.alias("start"), end.alias("end"), pair["match"].alias("found"))
-        return F.when(pair["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["found"], span).alias("found")))
+        span = F.struct(begin.alias("start"), end.alias("end"), pair["match"].alias("found"), before.alias("near"))
+        tail = F.right(F.concat(before, pair["match"]), F.lit(CONTEXT_CHARS))
+        return F.when(pair["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), tail.alias("tail"), F.array_append(acc["found"], span).alias("found")))
+
+    def folded(part: Column, at: Column) -> Column:
+        tail = F.substring(text, F.greatest(at - CONTEXT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT_CHARS)))
+        return F.aggregate(part, F.struct(at.alias("at"), tail.alias("tail"), F.expr(_FOUND).alias("found")), step)["found"]
 
+    return F.flatten(F.zip_with(parts, running(lengths, lambda a, x: a + x), folded))
+
+
+def spans_of(text: Column, rank: int, kind: Kind) -> Column:
+    """The confirmed spans of one kind: array of (start, rank, end, kind, score), in code points, end exclusive."""
     pairs = F.zip_with(
         F.split(text, kind.pattern, -1),
         F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)),
         lambda piece, match: F.struct(piece.alias("piece"), match.alias("match")),
     )
-    found = F.filter(F.aggregate(pairs, start, step)["found"], lambda s: kind.valid(s["found"]))
+    placed = bound(pairs, lambda p: bound(blocks(p), lambda parts: _placed(text, parts)))
+    found = F.filter(placed, lambda s: kind.valid(s["found"]))
 
     def scored(s: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.substring(text, begin + 1, s["start"] - begin))
-        score = F.when(near.rlike(kind.words), kind.score + kind.context).otherwise(F.lit(kind.score))
+        score = F.when(F.lower(s["near"]).rlike(kind.words), kind.score + kind.context).otherwise(F.lit(kind.score))
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
 
     spans = F.transform(found, scored)
