@@ -57,6 +57,13 @@ def test_every_shard_has_the_mixture(spark):
     assert again != {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(docs, 16, seed="other").collect()}
 
 
+def test_many_small_sources_reach_every_shard(spark):
+    rows = [(i, "t", "large" if i < 4000 else f"small{i}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    small = Counter(r.shard for r in sharding.interleave(docs, 16).collect() if r.doc_id >= 4000)
+    assert all(200 < small[s] < 300 for s in range(16))
+
+
 def test_odd_rows_are_placed_once(spark):
     rows = [(None, None, None), (None, None, None), (1, "", ""), (1, "", ""), (2, "long " * 50_000, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

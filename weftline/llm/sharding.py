@@ -1,12 +1,13 @@
 """Proportional stratified interleaving (DataFrame functions only).
 
 Rows are shuffled by a seeded digest and ranked within their source; a row's fractional rank ``(rank - 1/2) / n`` says
-how far through its source it stands. Sorted by it, all sources advance at the same pace, so every contiguous cut has
-the mixture of the whole. The sorted order is cut into shards whose row counts differ by at most one (law ``rows``).
+how far through its source it stands, and a seeded phase of the source turns it around the circle, so that many small
+sources spread over all of it. Sorted by it, all sources advance at the same pace, so every contiguous cut has the mixture
+of the whole. The sorted order is cut into shards whose row counts differ by at most one (law ``rows``).
 
 No source and no sort is ever ranked in one task: both rankings are two-level. Rows are dealt by a prefix of the digest
-(then of the fractional rank) to buckets, buckets are counted, counts are summed up over at most ``BUCKETS`` rows, and
-``row_number`` runs only inside a bucket. Texts are measured at the scan and never shuffled.
+(then of the fractional rank) to buckets of at most about ``BUCKET_ROWS`` rows, buckets are counted, counts are summed up
+over one row for each, and ``row_number`` runs only inside a bucket. Texts are measured at the scan and never shuffled.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql.window import Window
 from weftline.llm.shared import documents, text_or_empty, written
 
 SEED = "weftline"
-#: Hexadecimal digits of the digest that name a bucket, and the number of buckets of either ranking.
-PREFIX, BUCKETS = 3, 4096
+#: Rows that a bucket of either ranking has, about; 16 to the power of ``PREFIX`` buckets at least.
+BUCKET_ROWS, PREFIX = 1_000_000, 3
 
 
 def _before(df: DataFrame, keys: list[str], bucket: str, name: str) -> DataFrame:
@@ -50,7 +51,11 @@ def interleave(
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("__source"),
     ).withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-    rows = written(rows.withColumn("__b", F.substring("__h", 1, PREFIX)), "shard-rows")
+    rows = written(rows, "shard-rows")
+    digits, n = PREFIX, rows.count()
+    while n > BUCKET_ROWS * 16**digits:
+        digits += 1
+    rows, buckets = rows.withColumn("__b", F.substring("__h", 1, digits)), 16**digits
 
     totals = rows.groupBy("__source").agg(F.count("*").alias("__total"))
     offsets = _before(rows, ["__source"], "__b", "__before").join(totals, "__source")
@@ -58,9 +63,11 @@ def interleave(
     inside = Window.partitionBy("__source", "__b").orderBy("__h", *tie)
     ranked = rows.withColumn("__r", F.row_number().over(inside)).join(offsets, ["__source", "__b"])
     fraction = ranked.withColumn("__f", (F.col("__before") + F.col("__r") - 0.5) / F.col("__total")).drop("__b", "__r", "__before", "__total")
-    fraction = written(fraction.withColumn("__fb", F.floor(F.col("__f") * BUCKETS)), "shard-fractions")
+    phase = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "__source")), 1, 8), 16, 10).cast("double") / 2**32
+    fraction = fraction.withColumn("__f", F.col("__f") + phase).withColumn("__f", F.col("__f") - F.floor("__f"))
+    fraction = written(fraction.withColumn("__fb", F.floor(F.col("__f") * buckets)), "shard-fractions")
 
-    # at most BUCKETS rows; the count of all rows is theirs
+    # at most one row for each bucket; the count of all rows is theirs
     steps = _before(fraction.withColumn("__all", F.lit(0)), ["__all"], "__fb", "__start").drop("__all")
     n_rows = fraction.agg(F.count("*").alias("__rows"))
     inner = Window.partitionBy("__fb").orderBy("__f", "__source", "__h", *tie)
@@ -104,7 +111,9 @@ d AS (
   FROM documents, tab
 ),
 f AS (
-  SELECT *, (row_number() OVER (PARTITION BY src ORDER BY h, doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY src) AS fr FROM d
+  SELECT * EXCLUDE (turned), turned - floor(turned) AS fr
+  FROM (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY h, doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY src)
+               + ('0x' || substr(md5('weftline:' || src), 1, 8))::BIGINT::DOUBLE / 4294967296::DOUBLE AS turned FROM d)
 ),
 p AS (
   SELECT *, row_number() OVER (ORDER BY fr, src, h, doc_id) - 1 AS pos, count(*) OVER () AS n FROM f
