@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def plain_hits(text, items, window):
             for at in range(len(words) - k + 1):
                 if words[at : at + k] == w[i : i + k]:
                     hit.update(range(at, at + k))
-                    found.add(item)
+                    found.add(str(item))
     return len(words), len(hit), sorted(found)
 
 
@@ -38,7 +39,9 @@ def test_windows_equal_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     known = [x for x in items if x[0] is not None]
     for size in (1_000_000, 20):
-        got = dc.find_contamination(docs, bench, window=4, block_bytes=size).collect()
+        out = dc.find_contamination(docs, bench, window=4, block_bytes=size)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one worker's tables at a time
+        got = out.collect()
         assert len(got) == len(texts)
         for r in got:
             if r.doc_id < 62:
@@ -96,6 +99,16 @@ def test_long_runs_take_linear_time(spark):
     assert len(got[7].email_spans) == 500
 
 
+def test_many_matches_take_linear_time(spark):
+    text = "mail a@b.c " + "é 10.0.0.1 " * 40_000
+    found(spark, ["warm 1.2.3.4"])
+    began = time.monotonic()
+    got = found(spark, [text])[0]
+    assert time.monotonic() - began < 20  # the growing array took minutes
+    assert [(s.start, s.end) for s in got.ip_spans[::9999]] == [(13 + 11 * i, 21 + 11 * i) for i in range(0, 40_000, 9999)]
+    assert got.email_spans[0].score == 95
+
+
 def test_checksums_context_and_redaction(spark):
     texts = ["pay to IBAN GB82 WEST 1234 5698 7654 32 now", "GB82WEST12345698765432", "GB83WEST12345698765432", "my social security number is 123-45-6789", "part 123-45-6789", "ssn 000-45-6789", "mail contact me@x.org or 10.0.0.1"]
     got = found(spark, texts)

@@ -6,21 +6,22 @@ would end: a block that occurs in no pattern lets it skip ``length - BLOCK + 1``
 pattern selects the bucket of patterns with that suffix, and their words are compared directly. Texts stay in the task
 that reads them: one narrow stage, no shuffle.
 
-The tables are built on the driver from a bounded block of benchmark rows and broadcast with the scan. A benchmark
-larger than ``block_bytes`` is taken in several blocks, each its own scan stage over all documents; hits add up in a
-column, so that memory is bounded whatever the size of the benchmark.
+The tables are built on the driver from a bounded block of benchmark rows and sent with the scan. A benchmark larger
+than ``block_bytes`` is taken in several blocks, one scan of all documents after another; each but the first writes the
+hits of the few texts that have any, and the last scan joins them, so that no worker ever holds the tables of two blocks.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import documents
+from weftline.llm.shared import documents, written
 
 WINDOW = 10
 BLOCK = 2
@@ -67,7 +68,7 @@ class PatternSet:
             end += skip
 
 
-def build(items: list[tuple[int, str | None]], window: int) -> list[PatternSet]:
+def build(items: list[tuple[str, str | None]], window: int) -> list[PatternSet]:
     """The tables of a bounded list of (item_id, text)."""
     by_length: dict[int, dict[tuple[bytes, ...], list[int]]] = defaultdict(dict)
     for item, text in items:
@@ -111,7 +112,7 @@ def _scanner(sets: list[PatternSet], text_col: str):
                 items_out.append(sorted(found))
             column["__wm_words"] = pa.array(counts, pa.int64())
             column["__wm_spans"] = pa.array(spans_out, pa.list_(pa.int64()))
-            column["__wm_items"] = pa.array(items_out, pa.list_(pa.int64()))
+            column["__wm_items"] = pa.array(items_out, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([column[n] for n in names], names=names)
 
     return run
@@ -122,10 +123,10 @@ def span_pairs(flat: list[int]) -> Iterator[tuple[int, int]]:
     return zip(flat[::2], flat[1::2], strict=True)
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """The benchmark's rows in blocks of about ``block_bytes`` bytes; the driver holds one at a time."""
     block, size = [], 0
-    for row in benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).toLocalIterator(prefetchPartitions=False):
+    for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator(prefetchPartitions=False):
         if row[0] is None or not row[1]:
             continue
         block.append((row[0], row[1]))
@@ -147,18 +148,33 @@ def find_contamination(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``docs`` with three columns more: ``__wm_words`` (number of words), ``__wm_spans`` (the hit words as a flat list of
-    begin, end, ... of disjoint spans) and ``__wm_items`` (sorted items with occurring windows).
+    begin, end, ... of disjoint spans) and ``__wm_items`` (items with occurring windows, as strings, sorted).
 
     Null and empty texts have no words and no hits; so have all texts where the benchmark is empty. Benchmark rows with a
     null id or without words are no items; repeated items count once. All columns of ``docs`` are carried along as they
     are; only names that begin with ``__wm_`` are taken.
     """
-    none = F.expr("CAST(array() AS array<bigint>)")
-    out = docs.withColumns({"__wm_words": F.lit(0).cast("long"), "__wm_spans": none, "__wm_items": none})
-    scanned = False
-    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        out, scanned = out.mapInArrow(_scanner(build(block, window), text_col), out.schema), True
-    return out if scanned else out.mapInArrow(_scanner([], text_col), out.schema)  # to count the words
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    first = next(blocks, [])
+    key = F.unhex(F.md5(F.col(text_col).cast("string")))
+    spans, items = F.expr("CAST(array() AS array<bigint>)"), F.expr("CAST(array() AS array<string>)")
+    later = [_hits(docs.select(key.alias("key"), F.col(text_col).alias("text")), build(block, window)) for block in blocks]
+    if not later:
+        out = docs.withColumns({"__wm_words": F.lit(0).cast("long"), "__wm_spans": spans, "__wm_items": items})
+    else:
+        by_text = reduce(DataFrame.union, later).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))  # a row for each block at most
+        by_text = by_text.select(F.col("key").alias("__wm_key"), F.col("spans").alias("__wm_spans"), F.col("items").alias("__wm_items"))
+        out = docs.withColumns({"__wm_words": F.lit(0).cast("long"), "__wm_key": key}).join(by_text, "__wm_key", "left").drop("__wm_key")
+        out = out.withColumns({"__wm_spans": F.coalesce("__wm_spans", spans), "__wm_items": F.coalesce("__wm_items", items)})
+    return out.mapInArrow(_scanner(build(first, window), text_col), out.schema)
+
+
+def _hits(texts: DataFrame, sets: list[PatternSet]) -> DataFrame:
+    """(key, spans, items) of the texts (key, text) that one block hits, a written table; equal texts once."""
+    none = {"__wm_words": F.lit(0).cast("long"), "__wm_spans": F.expr("CAST(array() AS array<bigint>)"), "__wm_items": F.expr("CAST(array() AS array<string>)")}
+    wide = texts.withColumns(none)
+    found = wide.mapInArrow(_scanner(sets, "text"), wide.schema).where(F.size("__wm_items") > 0)
+    return written(found.select("key", F.col("__wm_spans").alias("spans"), F.col("__wm_items").alias("items")).dropDuplicates(["key"]), "benchmark-hits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -173,7 +189,7 @@ def query(spark, sf_dir):
     spans = F.col("__wm_spans")
     # the hit words of disjoint spans: every end less every begin
     n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    listed = F.array_join(F.array_sort(F.transform("__wm_items", lambda x: x.cast("string"))), ",")
+    listed = F.array_join("__wm_items", ",")
     return found.select(
         "doc_id",
         F.col("__wm_words").alias("n_words"),
