@@ -18,11 +18,10 @@ PATH = encode.vocabulary("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False)
 
 
-ODD = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a   ", "\n", " \n ", "a\n b", "a \n b\t c", "é ñ ü", "<|endoftext|> x", "𝒳 y𝒳", "it's 'we'll 12,000.5 !!", "  x  y", "z" * 5000, "x\r\n y"]
+ODD = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a   ", "\n", " \n ", "a\n b", "a \n b\t c", "é ñ ü", "<|endoftext|> x", "x <|endoftext|> y", "a<|endoftext|>  b<|endoftext|><|endoftext|> \nc <|endo", "𝒳 y𝒳", "it's 'we'll 12,000.5 !!", "  x  y", "z" * 5000, "x\r\n y"]
 
 
 def test_word_memory_gives_the_ids_of_whole_texts(spark, plain):
@@ -36,6 +35,16 @@ def test_word_memory_gives_the_ids_of_whole_texts(spark, plain):
             assert [np.frombuffer(x, "<u4").tolist() for x in code(texts)] == [plain(t).ids for t in texts]
 
 
+def test_special_strings_are_the_library_s(plain):
+    """The contract names the library and no setting of its own, so the string of a special token is that token."""
+    assert np.frombuffer(encode.WordEncoder(PATH)(["x <|endoftext|> y"])[0], "<u4").tolist() == plain("x <|endoftext|> y").ids == [87, 220, 50256, 331]
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        encode.WordEncoder(encode.vocabulary("word_bpe_49k.json"))
+
+
 def test_files_hold_every_id_in_order(spark, plain):
     rows = [(i, t) for i, t in zip(random.Random(4).sample(range(1000), len(ODD)), ODD, strict=True)]
     docs = spark.createDataFrame([*rows, (None, "no id")], "doc_id long, text string").selectExpr("*", "7 AS ids", "'x' AS ordinal", "'y' AS file")

@@ -2,12 +2,13 @@
 
 A byte-level pre-tokenizer of this family always starts a piece at a space that stands before a non-space. So a text in
 which no two spaces are adjacent may be cut at its spaces, each cut keeping its leading space, and the ids of the cuts
-joined are the ids of the text. Frequent cuts are encoded once per worker process. Texts with adjacent spaces are encoded
+joined are the ids of the text; the strings of special tokens, which the library finds in texts too, hold no space. Frequent cuts are encoded once per worker process. Texts with adjacent spaces are encoded
 whole. Either way every id comes from the tokenizers library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -66,7 +67,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        spec = json.loads(self.tokenizer.to_str())
+        cut = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError("only byte-level vocabularies without normalisation, cut by the usual pattern")
+        if any(t["lstrip"] or t["rstrip"] or t["normalized"] and " " in t["content"] for t in spec["added_tokens"]):
+            raise ValueError("a special token takes in the spaces beside it")
         self._lengths: np.ndarray | None = None
         self.memory = Memory(self._encode_words, {"": self._encode([" "])[0]}, memo_words)
 
