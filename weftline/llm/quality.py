@@ -34,6 +34,8 @@ THRESHOLD = 0.3
 FOLDS = 5
 #: Texts that are scored at a time.
 BATCH = 256
+#: Words whose bucket a worker remembers.
+BUCKET_WORDS = 100_000
 
 STATS = ("words", "word_length", "upper", "distinct", "top_share", "repeats", "punctuation", "symbols", "digits", "non_ascii", "lines", "line_repeats")
 _PUNCTUATION = b"!\"'(),-.:;?"
@@ -59,7 +61,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             1 - len(text) / size if text else 0.0, len(lines) / n, 1 - len(set(lines)) / len(lines),
         ]
     )
-    if len(_BUCKET_OF) > 500_000:
+    if len(_BUCKET_OF) > BUCKET_WORDS:
         _BUCKET_OF.clear()
     known = _BUCKET_OF
     for w in counts:
@@ -102,11 +104,11 @@ class Model:
         squares = np.add.reduceat((weighted**2).sum(axis=1), first)
         return self.bias + np.add.reduceat(self.linear[index] * value, first) + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Scores of whole texts."""
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Scores of whole texts; few of them are Python strings at a time."""
         out = np.zeros(len(texts))
         for at in range(0, len(texts), BATCH):
-            z, _ = self.raw(*self.inputs([features(t) for t in texts[at : at + BATCH]]))
+            z, _ = self.raw(*self.inputs([features(t) for t in texts.slice(at, BATCH).to_pylist()]))
             out[at : at + BATCH] = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
         return out
 
@@ -159,9 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
         for batch in batches:
             found = [features(t) for t in batch.column(2).to_pylist()]
             arrays = [pa.array([r[k].tolist() for r in found], pa.list_(t)) for k, t in enumerate((pa.float64(), pa.int32(), pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *arrays], names=["doc", "label", "stats", "buckets", "weights"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc", "label", "stats", "buckets", "weights"])
 
-    table = chosen.mapInArrow(run, "doc long, label int, stats array<double>, buckets array<int>, weights array<float>").toArrow().sort_by([("doc", "ascending"), ("label", "ascending")])
+    kind = chosen.schema["__doc"].dataType.simpleString()
+    table = chosen.mapInArrow(run, f"doc {kind}, label int, stats array<double>, buckets array<int>, weights array<float>").toArrow().sort_by([("doc", "ascending"), ("label", "ascending")])
     columns = [[np.array(x) for x in table[c].to_pylist()] for c in ("stats", "buckets", "weights")]
     rows = [(s, b.astype(np.int64), w.astype(np.float64)) for s, b, w in zip(*columns, strict=True)]
     return fit(rows, table["label"].to_numpy().astype(float))
@@ -173,7 +176,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1).to_pylist()))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)))], names=["doc_id", "score"])
 
     return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -183,8 +186,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
-            yield batch.filter(pa.array(model.scores(texts) >= threshold))
+            yield batch.filter(pa.array(model.scores(batch.column(batch.schema.names.index(text_col))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
