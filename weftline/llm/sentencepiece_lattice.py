@@ -17,7 +17,8 @@ from __future__ import annotations
 import heapq
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import pairwise
@@ -37,11 +38,13 @@ WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 HEAVY_WORDS = 500_000
 #: Longer words are folded where they stand.
 HEAVY_LENGTH = 32
-#: Rare words that a task remembers in each of two generations.
-MEMO_WORDS = 200_000
+#: Longer words are merged by a queue, one at a time.
+MERGED_LENGTH = 64
+#: Rare words that a worker remembers in each of two generations.
+MEMO_WORDS = 150_000
 BATCH = 256
 #: What this process remembers for the dictionary at hand.
-_MEMORIES: dict[str, Memory] = {}
+_MEMORIES: dict[str, tuple[Memory, Callable]] = {}
 
 
 @dataclass
@@ -97,7 +100,7 @@ class Vocabulary:
         return out
 
     def _merged(self, word: str) -> list[str]:
-        if len(word) > 64:
+        if len(word) > MERGED_LENGTH:
             return self._merged_by_queue(word)
         rank, none = self.ranks.get, len(self.pieces)
         parts = list(word)
@@ -112,6 +115,88 @@ class Vocabulary:
                 ranks[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
+    def fold_many(self, words: list[str]) -> list[bytes]:
+        """The ids of words as little-endian integers. Those of ``MERGED_LENGTH`` characters at most are merged together,
+        one merge in each of them at a time, on arrays of all their symbols."""
+        out = [b""] * len(words)
+        short = [k for k, w in enumerate(words) if len(w) <= MERGED_LENGTH] if self.merges else []
+        if short:
+            for k, ids in zip(short, self._merged_together([words[k] for k in short]), strict=True):
+                out[k] = ids
+        for k, w in enumerate(words):
+            if not out[k] and w:
+                out[k] = np.array(self.fold(w), "<i4").tobytes()
+        return out
+
+    @cached_property
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The symbol of each character (an unknown one is a number of its own), and the pairs that merge: key, rank, symbol."""
+        symbol = np.arange(0x110000, dtype=np.int64) + len(self.spelled)
+        for piece, (i, _) in self.pieces.items():
+            if len(piece) == 1:
+                symbol[ord(piece)] = i
+        of = lambda s: self.pieces[s][0] if s in self.pieces else int(symbol[ord(s)]) if len(s) == 1 else None
+        pairs = {}
+        for piece, (i, _) in self.pieces.items():
+            for cut in range(1, len(piece)):
+                a, b = of(piece[:cut]), of(piece[cut:])
+                if a is not None and b is not None:
+                    pairs[(a << 32) + b] = (self.ranks[piece], i)
+        keys = np.array(sorted(pairs), np.int64)
+        return symbol, keys, np.array([pairs[k][0] for k in keys.tolist()], np.int64), np.array([pairs[k][1] for k in keys.tolist()], np.int64)
+
+    def _merged_together(self, words: list[str]) -> list[bytes]:
+        symbol, keys, ranks, made = self._tables
+        none = len(ranks)
+        now = symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")]
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        place = np.full(len(now), none)  # of the pair that begins here, among all pairs; none ranks last
+        rank_of = np.append(ranks, np.iinfo(np.int64).max)
+
+        def look(at: np.ndarray) -> None:
+            place[at] = none
+            at = at[at < len(now) - 1]
+            key = (now[at] << 32) + now[at + 1]
+            found = np.minimum(np.searchsorted(keys, key), none - 1)
+            place[at] = np.where((keys[found] == key) & (word[at] == word[at + 1]), found, none)
+
+        look(np.arange(len(now)))
+        done_word, done_symbol = [], []
+        while len(now):
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            rank = rank_of[place]
+            counts = np.diff(np.append(starts, len(now)))
+            best = np.repeat(np.minimum.reduceat(rank, starts), counts)
+            over = best == rank_of[none]
+            if over.any():  # words without a pair are done
+                done_word.append(word[over])
+                done_symbol.append(now[over])
+                now, word, place, rank, best = (x[~over] for x in (now, word, place, rank, best))
+                if not len(now):
+                    break
+            at = np.flatnonzero(rank == best)
+            at = at[np.r_[True, word[at[1:]] != word[at[:-1]]]]  # the leftmost of equals
+            now[at] = made[place[at]]
+            kept = np.ones(len(now), bool)
+            kept[at + 1] = False
+            at = at - np.arange(len(at))  # one symbol less for each merge before
+            now, word, place = now[kept], word[kept], place[kept]
+            look(at)
+            look(at[at > 0] - 1)
+        word, now = np.concatenate(done_word), np.concatenate(done_symbol)
+        order = np.argsort(word, kind="stable")
+        word, now = word[order], now[order]
+        if (strange := now >= len(self.spelled)).any():  # characters outside the vocabulary become bytes
+            spelled = [[self.byte_base + b for b in chr(s - len(self.spelled)).encode("utf-8", "surrogatepass")] for s in now[strange].tolist()]
+            sizes = np.ones(len(now), np.int64)
+            sizes[strange] = [len(x) for x in spelled]
+            wide = np.repeat(now, sizes)
+            wide[np.repeat(strange, sizes)] = np.concatenate([np.array(x) for x in spelled])
+            word, now = np.repeat(word, sizes), wide
+        data = memoryview(now.astype("<i4").tobytes())
+        bounds = (4 * np.searchsorted(word, np.arange(len(words) + 1))).tolist()
+        return [bytes(data[a:b]) for a, b in pairwise(bounds)]
+
     @cached_property
     def ranks(self) -> dict[str, int]:
         """The order in which pieces merge: best score first, equal scores equal."""
@@ -255,35 +340,59 @@ def encode(
 
     Equal to the library's ``encode``. An empty table gives no rows; other columns are not read.
     """
-    vocab = Vocabulary.load(model_path)
-    heavy = encode_words(heavy_vocabulary(docs, text_col, heavy_words, heavy_length), vocab)
-    known = {r.word: np.array(r.ids, "<i4").tobytes() for r in heavy.collect()}  # at most heavy_words
+    coder = Coder.fitted(docs, model_path, text_col, heavy_words, heavy_length)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words_of, token = re.compile(WORD).findall, uuid.uuid4().hex
-
-    def folded(words: list[str]) -> list[bytes]:
-        return [np.array(vocab.fold(w), "<i4").tobytes() for w in words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _MEMORIES:
-            _MEMORIES.clear()
-            _MEMORIES[token] = Memory(folded, known, MEMO_WORDS)
-        memory = _MEMORIES[token]
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                out = memory.join([words_of(SPACE + t.replace(" ", SPACE)) if t else [] for t in batch.column(1).to_pylist()])
-                offsets = np.cumsum([0, *(len(x) // 4 for x in out)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(out), "<i4"))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), listed(coder.encode(batch.column(1).to_pylist()))], names=["doc_id", "ids"])
 
     return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def listed(ids: list[bytes]) -> pa.Array:
+    """Little-endian ids as an array of lists."""
+    offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+@dataclass
+class Coder:
+    """What a task needs to encode texts: the vocabulary and the ids of the heavy words, which the lattice has given."""
+
+    vocab: Vocabulary
+    known: dict[str, bytes]
+    token: str
+
+    @classmethod
+    def fitted(cls, docs: DataFrame, model_path: str, text_col: str = "text", heavy_words: int = HEAVY_WORDS, heavy_length: int = HEAVY_LENGTH) -> Coder:
+        vocab = Vocabulary.load(model_path)
+        heavy = encode_words(heavy_vocabulary(docs, text_col, heavy_words, heavy_length), vocab)
+        known = {r.word: np.array(r.ids, "<i4").tobytes() for r in heavy.toLocalIterator()}  # at most heavy_words
+        return cls(vocab, known, uuid.uuid4().hex)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian ids of each text; this process remembers the words of one coder."""
+        if self.token not in _MEMORIES:
+            _MEMORIES.clear()
+            _MEMORIES[self.token] = Memory(self.vocab.fold_many, self.known, MEMO_WORDS), re.compile(WORD).findall
+        memory, words_of = _MEMORIES[self.token]
+        return memory.join([words_of(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts])
+
+
+def decoded(ids: np.ndarray, spelled: list[bytes]) -> str:
+    """The text of ids; only one document's are Python numbers at a time."""
+    text = b"".join(map(spelled.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    return text[1:] if text and text[0] == " " else text
+
+
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with a column ``decoded``: the text of the ids; null ids give null, no ids the empty text.
 
-    Byte pieces that form no character become U+FFFD, as in the library; the dummy prefix goes.
+    Byte pieces that form no character become U+FFFD, as in the library; the dummy prefix goes. Other columns pass through;
+    a column named decoded is refused.
     """
     spelled = Vocabulary.load(model_path).spelled
     if "decoded" in encoded.columns:
@@ -295,20 +404,31 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
                 batch = whole.slice(at, BATCH)
                 ids = batch.column(batch.schema.names.index(ids_col))
                 values, bounds, known = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist(), ids.is_valid().to_pylist()
-                texts = []
-                for k, there in enumerate(known):  # one document's ids at a time are Python numbers
-                    text = b"".join(map(spelled.__getitem__, values[bounds[k] : bounds[k + 1]].tolist())).decode("utf-8", "replace") if there else None
-                    texts.append(text[1:] if text and text[0] == " " else text)
+                texts = [decoded(values[bounds[k] : bounds[k + 1]], spelled) if there else None for k, there in enumerate(known)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, encoded.withColumn("decoded", F.lit(None).cast("string")).schema)
 
 
-def coded(docs: DataFrame) -> DataFrame:
-    """Whole texts to ids and back: doc_id, ids, n_tokens, decoded_crc32 (of the decoded text)."""
-    path = vocabulary("piece_bpe_32k.model")
-    back = decode(encode(docs, path), path)
-    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Whole texts to ids and back in one pass: doc_id, ids, n_tokens, decoded_crc32 (of the decoded text in UTF-8).
+
+    Null and empty texts have no ids, and decode to the empty text.
+    """
+    coder = Coder.fitted(docs, vocabulary("piece_bpe_32k.model"), text_col)
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelled = coder.vocab.spelled
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                ids = coder.encode(batch.column(1).to_pylist())
+                sums = [zlib.crc32(decoded(np.frombuffer(x, "<i4"), spelled).encode()) for x in ids]
+                columns = [batch.column(0), listed(ids), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "decoded_crc32"])
+
+    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, decoded_crc32 long")
 
 
 def query(spark, sf_dir):
