@@ -33,15 +33,6 @@ def _parts(texts: list[str], size: int = 4_000_000) -> Iterator[list[str]]:
         yield part
 
 
-class _Words(dict):
-    """Fixed words and, behind them, those that are remembered for now."""
-
-    now: dict[str, bytes]
-
-    def __missing__(self, word: str) -> bytes:
-        return self.now[word]
-
-
 class Memory:
     """Values of words, computed together when they are new, kept in two generations of bounded size.
 
@@ -49,24 +40,24 @@ class Memory:
     """
 
     def __init__(self, compute: Callable[[list[str]], list[bytes]], fixed: dict[str, bytes], size: int):
-        self.compute, self.words, self.size = compute, _Words(fixed), size
+        self.compute, self.fixed, self.size = compute, fixed, size
         self.now, self.older = {}, {}
 
     def join(self, texts: list[list[str]]) -> list[bytes]:
-        """For each list of words, their values end to end."""
+        """For each list of words, their values end to end. Each distinct word is looked up once, and the rest in a small dictionary."""
         if len(self.now) > self.size:
             self.older, self.now = self.now, {}
-        now, older, words = self.now, self.older, self.words
-        words.now = now
-        unknown = set().union(*texts).difference(words, now)
+        now, older, fixed = self.now, self.older, self.fixed
+        distinct = set().union(*texts)
+        unknown = distinct.difference(fixed, now)
         now.update([(w, older[w]) for w in unknown if w in older])
         fresh = list(unknown.difference(older))
         now.update(zip(fresh, self.compute(fresh), strict=True))
-        out = [b"".join(map(words.__getitem__, text)) for text in texts]
+        own = {w: fixed[w] if w in fixed else now[w] for w in distinct}
         for w in fresh:
             if len(w) > MEMO_LENGTH:
                 del now[w]
-        return out
+        return [b"".join(map(own.__getitem__, words)) for words in texts]
 
 
 class WordEncoder:

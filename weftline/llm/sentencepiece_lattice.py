@@ -42,7 +42,7 @@ HEAVY_LENGTH = 32
 MERGED_LENGTH = 64
 #: Rare words that a worker remembers in each of two generations.
 MEMO_WORDS = 150_000
-BATCH = 256
+BATCH = 512
 #: What this process remembers for the dictionary at hand.
 _MEMORIES: dict[str, tuple[Memory, Callable]] = {}
 
@@ -322,7 +322,8 @@ def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
 
 def heavy_vocabulary(docs: DataFrame, text_col: str, heavy_words: int, heavy_length: int) -> DataFrame:
     """(word): those with at least ``1 / heavy_words`` of all word occurrences of all documents; at most ``heavy_words``."""
-    each = docs.select(F.explode(F.regexp_extract_all(normalised(text_or_empty(text_col)), F.lit(WORD), F.lit(0))).alias("word"))
+    cut = docs.select(F.explode(F.split(text_or_empty(text_col), " ")).alias("word")).where("word <> ''")  # words after one space
+    each = cut.select(F.concat(F.lit(SPACE), "word").alias("word"))
     counts = written(each.groupBy("word").agg(F.count("*").alias("n")), "piece-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     return counts.where((F.col("n") * heavy_words >= total) & (F.length("word") <= heavy_length)).select("word")
