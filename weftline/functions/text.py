@@ -11,6 +11,8 @@ LINE_SPACE = r" \r\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f
 CONTROL = r"[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F]"
 #: All white space that Python strips.
 ANY_SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same, one by one.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORD = r"[\p{L}\p{N}_]+"
 #: A sentence is a run up to and with its closing marks; a documented approximation without statistics.
 SENTENCE = r"[^.!?]+[.!?]*"
@@ -30,7 +32,7 @@ def clean_text(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """``text`` without white space at either end."""
-    return F.regexp_replace(text, rf"\A[{ANY_SPACE}]+|[{ANY_SPACE}]+\z", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def tokens(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.functions.arrays import bound
 from weftline.functions.code import language
 from weftline.functions.text import sentences, stripped
 
@@ -22,16 +23,18 @@ def sentence_windows(text: Column, size: int = SENTENCES, overlap: int = OVERLAP
     """
     step = size - overlap if size > overlap else size
 
-    def cut(found: Column) -> Column:
+    def cut(found: Column, whole: Column) -> Column:
         n = F.size(found)
         last = F.when(n <= size, F.lit(0)).otherwise(F.ceil((n - size) / F.lit(step)).cast("int"))
         windows = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(found, k * step + 1, F.lit(size)), " "))
-        kept = F.filter(windows, lambda w: F.length(w) >= min_chars)
-        return F.when(n == 0, F.expr(_NONE)).when(F.size(kept) == 0, F.array(stripped(text))).otherwise(kept)
+        kept = bound(F.filter(windows, lambda w: F.length(w) >= min_chars), lambda k: F.when(F.size(k) == 0, F.array(whole)).otherwise(k))
+        return F.when(n == 0, F.expr(_NONE)).otherwise(kept)
 
-    short = F.when(stripped(text) == "", F.expr(_NONE)).otherwise(F.array(text))
-    long = F.get(F.transform(F.array(sentences(text)), cut), F.lit(0))
-    return F.when(text.isNull(), F.expr(_NONE)).when(F.length(stripped(text)) < min_chars, short).otherwise(long)
+    def chunks(whole: Column) -> Column:
+        short = F.when(whole == "", F.expr(_NONE)).otherwise(F.array(text))
+        return F.when(F.length(whole) < min_chars, short).otherwise(bound(sentences(text), lambda found: cut(found, whole)))
+
+    return F.when(text.isNull(), F.expr(_NONE)).otherwise(bound(stripped(text), chunks))
 
 
 def explode_chunks(df: DataFrame, chunks: Column, *carry: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +18,18 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as it is now, kept in the folder of ``spark.checkpoint.dir``; where that is unset, in a temporary one of a session in one process."""
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of this application in the folder of ``spark.checkpoint.dir``: made once, lineage cut.
+
+    Where that setting is absent, a session in one process gets a temporary folder; a cluster is refused.
+    """
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="weftline-")
+        context.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/weftline/{context.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

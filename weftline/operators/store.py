@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.operators.sizing import cut
+from weftline.operators.sizing import stored
 
 SCHEMA = (
     "chunk_id long, doc_id string, source string, chunk_index int, total_chunks int, text string, embedding array<float>, "
@@ -48,10 +48,14 @@ def numbered(chunks: DataFrame, first: int) -> DataFrame:
     """``chunks`` with gapless chunk_id from ``first`` in the order of doc_id, chunk_index.
 
     Rows are ranged and sorted, numbered inside each range, and moved by the counts of the ranges before, so that no
-    task sees all rows; the ranges are kept, so that both passes see the same ones.
+    task sees all rows. The chunks are written before they are ranged, so that the sampling of the ranges reads two columns
+    and makes no chunk again; the ranges are written too, so that both passes see the same ones. Columns named
+    __part, __i or __before are refused.
     """
-    ranged = chunks.repartitionByRange("doc_id", "chunk_index").sortWithinPartitions("doc_id", "chunk_index")
-    placed = cut(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)))
+    if taken := {"__part", "__i", "__before"} & set(chunks.columns):
+        raise ValueError(f"columns are named {sorted(taken)}")
+    ranged = stored(chunks, "chunks").repartitionByRange("doc_id", "chunk_index").sortWithinPartitions("doc_id", "chunk_index")
+    placed = stored(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)), "ranges")
     parts = placed.groupBy("__part").agg(F.count("*").alias("__n"))  # one row per partition
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
