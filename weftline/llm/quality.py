@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
 
     kind = chosen.schema["__doc"].dataType.simpleString()
     table = chosen.mapInArrow(run, f"doc {kind}, label int, stats array<double>, buckets array<int>, weights array<float>").toArrow().sort_by([("doc", "ascending"), ("label", "ascending")])
-    columns = [[np.array(x) for x in table[c].to_pylist()] for c in ("stats", "buckets", "weights")]
+    columns = []
+    for c in ("stats", "buckets", "weights"):  # slices of the Arrow values: no Python objects for the numbers
+        lists = pa.concat_arrays(table[c].chunks) if table.num_rows else pa.array([], table.schema.field(c).type)
+        values, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+        columns.append([values[i:j] for i, j in pairwise(bounds)])
     rows = [(s, b.astype(np.int64), w.astype(np.float64)) for s, b, w in zip(*columns, strict=True)]
     return fit(rows, table["label"].to_numpy().astype(float))
 
