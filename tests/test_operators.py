@@ -173,3 +173,15 @@ def test_answers(spark):
     assert {r.answer for r in none} == {answer.NO_DOCUMENTS} and {r.contexts for r in none} == {None}
     semantic = answer.retrieve(chunks, asked, answer.Options(hybrid=False, reranking=False, min_score=0.0, top_k=1))
     assert [r.source for r in semantic.collect()] == ["fruit.txt"]
+
+
+def test_a_replayed_batch_replaces_itself(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "chunks"))
+    part = lambda d, n: spark.createDataFrame([(d, k, "t") for k in range(n)], "doc_id string, chunk_index int, text string")
+    store.append(part("a", 2), "s-0")
+    store.append(part("b", 3), "s-1")
+    store.append(part("b", 3), "s-1")
+    assert [(r.chunk_id, r.doc_id) for r in store.load().orderBy("chunk_id").collect()] == [(0, "a"), (1, "a"), (2, "b"), (3, "b"), (4, "b")]
+    store.clear()
+    store.append(part("c", 1))
+    assert [(r.chunk_id, r.doc_id) for r in store.load().collect()] == [(0, "c")]

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be sent to every executor.
@@ -18,18 +18,23 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table of this application in the folder of ``spark.checkpoint.dir``: made once, lineage cut.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of this application in the folder of ``spark.checkpoint.dir``.
 
     Where that setting is absent, a session in one process gets a temporary folder; a cluster is refused.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="weftline-")
         context.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/weftline/{context.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/weftline/{context.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in ``fresh_path``: made once, lineage cut."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,27 +19,38 @@ SCHEMA = (
 
 
 class ChunkStore:
-    """Chunks under a path. Appending is one write of new files; loading, statistics and search read the table."""
+    """Chunks under a path, one folder per append. Loading, statistics and search read the table.
+
+    One writer at a time: an append reads the last id before it writes.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def load(self) -> DataFrame:
         """All chunks; an absent table is empty."""
+        return self._batches().drop("batch")
+
+    def _batches(self) -> DataFrame:
         try:
-            return self.spark.read.schema(SCHEMA).parquet(self.path)
+            return self.spark.read.schema(f"{SCHEMA}, batch string").parquet(self.path)
         except AnalysisException as absent:
             if "PATH_NOT_FOUND" not in str(absent):
                 raise
-            return self.spark.createDataFrame([], SCHEMA)
+            return self.spark.createDataFrame([], f"{SCHEMA}, batch string")
+
+    def append(self, chunks: DataFrame, batch: str | None = None) -> None:
+        """Adds chunks in the order of doc_id and chunk_index; ids go on from the last one.
 
-    def append(self, chunks: DataFrame) -> None:
-        """Adds chunks in the order of doc_id and chunk_index; ids go on from the last one."""
-        conform(numbered(chunks, self.load().agg(F.coalesce(F.max("chunk_id"), F.lit(-1))).first()[0] + 1)).write.mode("append").parquet(self.path)
+        A ``batch`` (letters, digits, - and _) that is appended again replaces what it added before.
+        """
+        batch = batch or uuid.uuid4().hex
+        last = self._batches().where(F.col("batch") != batch).agg(F.coalesce(F.max("chunk_id"), F.lit(-1))).first()[0]
+        conform(numbered(chunks, last + 1)).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def clear(self) -> None:
         """Empties the table."""
-        self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(self.path)
+        self.spark.createDataFrame([], f"{SCHEMA}, batch string").write.mode("overwrite").partitionBy("batch").parquet(self.path)
 
     def stats(self) -> DataFrame:
         """One row: total_chunks, embedding_dim."""

@@ -12,7 +12,8 @@ from weftline.functions import code, scores, vector
 from weftline.functions import text as tx
 from weftline.functions.prompts import prompt
 from weftline.operators import chunking, citations, embedding, fusion, keyword, related, rerank, similarity, store
-from weftline.plans import answer, sql
+from weftline.operators.sizing import fresh_path, stored
+from weftline.plans import answer, ingestion, sql
 from weftline.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,6 +201,22 @@ def bm25_idf(spark, sf_dir):
     return keyword.token_idf(_documents(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
+@query(f"WITH {sql.keyword_ctes(_DOCUMENTS, _ONE, 15)} SELECT token, df, round(idf, 6) AS idf FROM kw_idf")
+def bm25_added_documents(spark, sf_dir):
+    """The idf of all documents from the stored counts of the even ones and those of the odd ones, added later."""
+    docs = _documents(spark, sf_dir)
+    parts = [stored(keyword.document_frequencies(docs.where(F.col("chunk_id") % 2 == k)), "frequencies") for k in (0, 1)]
+    return keyword.idf_of(keyword.add_frequencies(*parts), docs.agg(F.count("*").alias("n_chunks"))).withColumn("idf", F.round("idf", 6))
+
+
+@query("SELECT 0::BIGINT AS query_id, 0::BIGINT AS n_hits")
+def bm25_no_corpus(spark, sf_dir):
+    """Without chunks, and for a question without words, nothing is found."""
+    docs, none = _documents(spark, sf_dir), spark.createDataFrame([(0, "?! ...")], "query_id long, question string")
+    found = keyword.keyword_topk(docs.limit(0), _one(spark), 5).union(keyword.keyword_topk(docs, none, 5))
+    return found.agg(F.lit(0).cast("long").alias("query_id"), F.count("*").alias("n_hits"))
+
+
 @query(f"WITH {sql.keyword_ctes(_DOCUMENTS, _ONE, None)} SELECT n AS n_chunks, round(avgdl, 6) AS avg_len FROM kw_stat")
 def bm25_corpus_stats(spark, sf_dir):
     """A6."""
@@ -497,6 +514,60 @@ def batch_sizes(spark, sf_dir):
     return rows.select("id", scores.batch_size(F.col("u")).alias("batch"), scores.percent(F.coalesce(F.col("u"), F.lit(0.0)) / 100).alias("shown"))
 
 
+REQUEST_ROWS = [(0, None), (1, ""), (2, " \t\n"), (3, "  what? "), (4, "x" * 10_000), (5, "x" * 10_001), (6, " " * 9_999 + "y"), (7, " " * 10_000 + "y")]
+
+
+@query(f"SELECT id, CASE WHEN length(text) <= 10000 AND {sql.strip('text')} <> '' THEN {sql.strip('text')} END AS message FROM {sql.values(REQUEST_ROWS, 'id BIGINT, text VARCHAR')}")
+def request_limits(spark, sf_dir):
+    """What of a request's text is taken."""
+    return spark.createDataFrame(REQUEST_ROWS, "id long, text string").select("id", ingestion.accepted(F.col("text")).alias("message"))
+
+
+@query(f"SELECT query_id, NULL::VARCHAR AS first_source, '{answer.NO_DOCUMENTS}' AS answer FROM {_QUESTIONS} WHERE {sql.strip('question')} IS NOT NULL")
+def empty_store_answers(spark, sf_dir):
+    """The stated questions against a store in which nothing has been ingested."""
+    nothing = store.ChunkStore(spark, fresh_path(spark, "store"))
+    return answer.answer(nothing.load(), _questions(spark, sf_dir)).select("query_id", F.get("sources", F.lit(0)).alias("first_source"), "answer")
+
+
+# ingestion -----------------------------------------------------------------------------------------------------------
+
+_FILE = "substr(sha256(file_path), 1, 32) AS doc_id, regexp_extract(file_path, '([^/]*)$', 1) AS source"
+_STRUCTURE_TEXT = f"""SELECT s.file_path, line_start, line_end, rtrim(array_to_string(string_split(code, chr(10))[line_start:line_end], chr(10)), chr(10)) AS text, 'function' AS type, name, class
+FROM {sql.values(_STRUCTURES, 'file_path VARCHAR, name VARCHAR, class VARCHAR, line_start INTEGER, line_end INTEGER')} s JOIN {sql.values(STRUCTURE_ROWS, 'path VARCHAR, code VARCHAR')} f ON s.file_path = f.path"""
+
+
+@query(f"""WITH files AS (SELECT * FROM {sql.values(CODE_ROWS, 'path VARCHAR, code VARCHAR')} UNION ALL SELECT 'n.js', '{STRUCTURE_ROWS[1][1].replace(chr(10), "' || chr(10) || '")}'),
+each AS ({_STRUCTURE_TEXT} UNION ALL SELECT path, k + 1, least(k + 50, len(l)), array_to_string(l[k + 1:k + 50], chr(10)), 'code_block', NULL, NULL
+  FROM (SELECT path, l, unnest(range(0, len(l), 50)) AS k FROM (SELECT path, string_split(code, chr(10)) AS l FROM files)) WHERE length({sql.strip("array_to_string(l[k + 1:k + 50], chr(10))")}) >= 50)
+SELECT {_FILE}, file_path, {_LANGUAGE.replace('lower(path)', 'lower(file_path)')} AS language, (row_number() OVER f - 1)::INTEGER AS chunk_index, (count(*) OVER (PARTITION BY file_path))::INTEGER AS total_chunks,
+  line_start::INTEGER AS line_start, line_end::INTEGER AS line_end, text, type, name, class FROM each WINDOW f AS (PARTITION BY file_path ORDER BY line_start)""")
+def code_ingestion(spark, sf_dir):
+    """Functions of files in which they are found, else blocks."""
+    return ingestion.ingest_code(spark.createDataFrame(CODE_ROWS + STRUCTURE_ROWS, "path string, code string"), structures=True)
+
+
+@query(f"""SELECT 'img/' || name AS file_path, substr(sha256('img/' || name), 1, 32) AS doc_id, name AS source, 'image' AS type, 640 AS image_width, 480 AS image_height, 'PNG' AS image_format, coalesce(length(ocr), 0) > 0 AS has_ocr_text,
+unnest(range(len(c)))::INTEGER AS chunk_index, len(c)::INTEGER AS total_chunks, unnest(c) AS text FROM (SELECT name, text AS ocr, CASE WHEN coalesce(text, '') = '' THEN ['[Image: ' || name || ']'] ELSE [text] END AS c FROM {sql.values([r for r in OCR_ROWS if len(r[1] or '') <= 100], 'name VARCHAR, text VARCHAR')})""")
+def image_ingestion(spark, sf_dir):
+    """Images whose recognised text is short or absent, as the store keeps them; long ones are in ocr_chunks."""
+    rows = spark.createDataFrame([r for r in OCR_ROWS if len(r[1] or "") <= 100], "name string, ocr_text string")
+    text = F.length(F.coalesce("ocr_text", F.lit(""))) > 0
+    return ingestion.ingest_images(rows.select(F.concat(F.lit("img/"), "name").alias("path"), F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit("PNG").alias("format"), "ocr_text", text.alias("has_text")))
+
+
+@query(f"""WITH c AS (SELECT doc_id, chunk_index, chunk_text FROM {sql.chunks('documents', 'doc_id, source', sql.clean('text'))}),
+n AS (SELECT doc_id % 2 AS half, row_number() OVER (ORDER BY doc_id % 2, doc_id, chunk_index) - 1 AS chunk_id, * FROM c)
+SELECT chunk_id, doc_id::VARCHAR AS doc_id, chunk_index, chunk_text AS text FROM n""")
+def store_round_trip(spark, sf_dir):
+    """Two appends, the second one made twice as after a failure, and what is loaded."""
+    kept = store.ChunkStore(spark, fresh_path(spark, "store"))
+    chunks = answer.ingest(_table(spark, sf_dir, "documents"))
+    for half in ("0", "1", "1"):
+        kept.append(chunks.where(F.col("doc_id") % 2 == int(half)), batch=half)
+    return kept.load().select("chunk_id", "doc_id", "chunk_index", "text")
+
+
 # whole plans ---------------------------------------------------------------------------------------------------------
 
 _CHUNKS = "chunks"

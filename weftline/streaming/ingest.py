@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +25,10 @@ def stream_chunks(docs: DataFrame, size: int = 12, overlap: int = 2) -> DataFram
 
 
 def ingest_stream(docs: DataFrame, store: ChunkStore, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Appends the chunks of a stream to a store, one numbered batch at a time."""
-    writer = stream_chunks(docs).writeStream.foreachBatch(lambda batch, _: store.append(batch)).option("checkpointLocation", checkpoint)
+    """Appends the chunks of a stream to a store, one numbered batch at a time; a batch that is replayed replaces itself.
+
+    Batches are known by the checkpoint's path and their number, so each stream needs a checkpoint path of its own.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    writer = stream_chunks(docs).writeStream.foreachBatch(lambda batch, number: store.append(batch, f"{stream}-{number}")).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
