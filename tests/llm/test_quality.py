@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftline.llm import quality
 
@@ -38,6 +39,22 @@ def test_held_out_accuracy_and_whole_table(spark):
     assert np.mean([p for p, y in tested if y]) > 0.98
 
 
+def test_query_scores_equal_the_sum_over_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    flipped = labels.withColumn("quality", F.when(quality.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
+    m = quality.train(docs, flipped)  # labels of the held-out fold change nothing
+    got = {r.doc_id: r.score for r in quality.query(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i in sorted(texts, key=lambda i: len(texts[i] or ""))[::5]:
+        _, index, value = m.inputs([quality.features(texts[i])])
+        weighted = m.factors[index].astype(float) * value[:, None]
+        pairs = np.triu(weighted @ weighted.T, 1).sum()
+        z = m.bias + m.linear[index].astype(float) @ value + pairs
+        assert np.isclose(got[i], 1 / (1 + np.exp(-np.clip(z, -35, 35))), atol=1e-5)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "good words here"), (1, "x " * 40_000), (3, "!!")], "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS label", "3 AS __x")
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (4, 1), (6, 0)], "doc_id long, quality int")
