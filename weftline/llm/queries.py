@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, exact_dedup, line_dedup, pii, quality, sentencepiece_lattice, sharding, simhash, token_counts, token_output
+from weftline.llm import collocations, decontaminate, exact_dedup, line_dedup, pii, quality, schema_rewrite, secret_scan, sentencepiece_lattice, sharding, simhash, token_counts, token_output
 
 QUERIES = {
     "op1_token_attribution": token_counts.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii_spans": pii.query,
     "op9_factorisation_machine": quality.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_phrase_collocations": collocations.query,
+    "op12_secret_ownership": secret_scan.query,
+    "op13_drifted_rewrite": schema_rewrite.query,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op7_benchmark_windows": decontaminate.ORACLE,
     "op8_pii_spans": pii.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_phrase_collocations": collocations.ORACLE,
+    "op12_secret_ownership": secret_scan.ORACLE,
 }
