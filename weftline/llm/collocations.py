@@ -7,7 +7,8 @@ Three steps, all of them scans of the texts that carry little:
    its own. A cell's sum is an upper bound of the count of each phrase in it, and only cells of ``LEAST`` and more go on.
    Phrases of three words are sketched after those of two, and only where both of their halves go on: a bitmap of fixed
    size (``BITS``) says so to all tasks; what it lets through by chance costs work, not results.
-2. *Candidates.* One more scan gives the words of the cells that go on. From the upper bounds follow bounds of the scores,
+2. *Candidates.* One more scan gives the words of the cells that go on, each from one place that is known to have it, so that
+   no phrase is sent twice. From the upper bounds follow bounds of the scores,
    and from these the phrases that can be among the first ``top`` of their language, with a margin, the longer phrases
    that may put them out, and their parts. There are a few times ``top`` of them, however large the corpus.
 3. *Count.* They become Aho-Corasick automata of at most ``PATTERNS`` phrases, one per language, each phrase between
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,7 +44,9 @@ SHARE = 50
 #: The bitmap of cells that go on has 2^BITS bits.
 BITS = 27
 #: Text, in bytes, whose cells a task sums before it sends them on, and text of one block of the sketch.
-FLUSH, BLOCK = 16_000_000, 32_000_000
+FLUSH, BLOCK = 8_000_000, 8_000_000
+#: Text, in bytes, and rows that are taken apart at a time.
+PART, ROWS = 1_000_000, 1024
 #: Phrases of one automaton, and candidates beyond ``top`` that are counted at first, in hundredths of ``top``.
 PATTERNS, MARGIN = 200_000, 125
 
@@ -92,7 +96,7 @@ class Words:
         h = np.full(count, self.salt + np.uint64(n))
         for k in range(n):
             h = h + _mixed(self.hashes[k : k + count]) * _FACTORS[k]
-        return _mixed(h)
+        return _mixed(h) & ~np.uint64(1) | np.uint64(n == 1)  # odd for words
 
     def whole(self, n: int) -> np.ndarray:
         """Where phrases of ``n`` words stay in one piece."""
@@ -103,82 +107,100 @@ class Words:
         return b" ".join(self.data[self.starts[i] : self.ends[i]] for i in range(at, at + n)).decode()
 
 
-def _by_language(batch: pa.RecordBatch, size: int = 4_000_000) -> Iterator[tuple[str, bytes]]:
-    """(lang, texts with line breaks between) of a batch (lang, text), a few megabytes at a time."""
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    """(lang, texts with line breaks between) of a batch (lang, text), about ``PART`` bytes at a time."""
     for lang in pc.unique(batch.column(0)).to_pylist():
         texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, before + PART, "right")))
             part = texts.slice(at, to - at)
             yield lang, pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), "\n")[0].as_buffer().to_pybytes()
             at = to
 
 
+def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.uint64, str, bytes, bool]]:
+    """(flush, lang, texts, last): texts as ``_by_language`` gives them, the number of the flush that they belong to, whether it ends with them.
+
+    A flush is about ``FLUSH`` bytes of one task; it has the same number and texts in every scan of the same plan.
+    """
+    own, at, size, held = TaskContext.get().partitionId() << 24, 0, 0, None
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            for lang, blob in _by_language(batch.slice(start, ROWS)):
+                if held is not None:
+                    yield np.uint64(own + at), *held, size >= FLUSH
+                    if size >= FLUSH:
+                        at, size = at + 1, 0
+                held, size = (lang, blob), size + len(blob)
+    if held is not None:
+        yield np.uint64(own + at), *held, True
+
+
 def _known(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """Whether the bitmap has the cells."""
     bit = cells >> np.uint64(64 - BITS)
     return (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
+def _in_flush(cells: np.ndarray, flush: np.uint64) -> np.ndarray:
+    """A key for each cell in a flush."""
+    return cells ^ (np.atleast_1d(flush) * _FACTORS[3])
+
+
 def _sketch(texts: DataFrame, blocks: int, sizes: tuple[int, ...], halves=None) -> DataFrame:
-    """(cell, n) of the cells of phrases of these sizes with ``LEAST`` or more; with ``halves``, a broadcast bitmap, only of those whose halves it has.
+    """(cell, n, key) of the cells of phrases of these sizes with ``LEAST`` or more, and a key of the cell in one flush that has it; with ``halves``, a broadcast bitmap, only of those whose halves it has.
 
     ``blocks`` is a power of two.
     """
     shift = np.uint64(64 - blocks.bit_length() + 1)
 
-    def summed(cells: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def summed(cells: list[np.ndarray], flush: np.uint64) -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(cells), return_counts=True)
         block = (found >> shift).astype(np.int64) if blocks > 1 else np.zeros(len(found), np.int64)
         at = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(found)) if len(found) else np.zeros(1, np.int64)
         parts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-        yield pa.RecordBatch.from_pydict(
-            {
-                "block": pa.array(block[at[:-1]], pa.int64()),
-                "cells": pa.array([found[i:j].tobytes() for i, j in parts], pa.binary()),
-                "counts": pa.array([n[i:j].astype("<u4").tobytes() for i, j in parts], pa.binary()),
-            }
-        )
+        columns = {
+            "block": pa.array(block[at[:-1]], pa.int64()),
+            "flush": pa.array([int(flush)] * len(parts), pa.int64()),
+            "cells": pa.array([found[i:j].tobytes() for i, j in parts], pa.binary()),
+            "counts": pa.array([n[i:j].astype("<u4").tobytes() for i, j in parts], pa.binary()),
+        }
+        return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = None if halves is None else np.frombuffer(halves.value, np.uint64)
-        held, size = [], 0
-        for batch in batches:
-            for lang, blob in _by_language(batch):
-                words = Words(blob, lang)
-                for n in sizes:
-                    cells = words.cells(n)
-                    whole = words.whole(n)
-                    if bitmap is not None:
-                        half = _known(bitmap, words.cells(n - 1))
-                        whole = whole & half[:-1] & half[1:]
-                    held.append(cells[whole])
-                size += len(blob)
-                if size >= FLUSH:
-                    yield from summed(held)
-                    held, size = [], 0
-        if held:
-            yield from summed(held)
+        bitmap, held = None if halves is None else np.frombuffer(halves.value, np.uint64), []
+        for flush, lang, blob, last in _flushes(batches):
+            words = Words(blob, lang)
+            for n in sizes:
+                whole = words.whole(n)
+                if bitmap is not None:
+                    half = _known(bitmap, words.cells(n - 1))
+                    whole = whole & half[:-1] & half[1:]
+                held.append(words.cells(n)[whole])
+            if last:
+                yield summed(held, flush)
+                held = []
 
     def added(table: pa.Table) -> pa.Table:
         cells = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("cells")])
         counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("counts")])
+        flush = np.repeat(table.column("flush").to_numpy(), [len(x.as_buffer()) // 8 for x in table.column("cells")])
         order = np.argsort(cells, kind="stable")
-        cells, counts = cells[order], counts[order].astype(np.int64)
+        cells, counts, flush = cells[order], counts[order].astype(np.int64), flush[order]
         first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
         sums = np.add.reduceat(counts, first)
         heavy = sums >= LEAST
-        return pa.table({"cell": pa.array(cells[first][heavy].view(np.int64)), "n": pa.array(sums[heavy])})
+        return pa.table({"cell": pa.array(cells[first][heavy].view(np.int64)), "n": pa.array(sums[heavy]), "key": pa.array(_in_flush(cells[first], flush[first].view(np.uint64))[heavy].view(np.int64))})
 
-    return texts.mapInArrow(run, "block long, cells binary, counts binary").groupBy("block").applyInArrow(added, "cell long, n long")
+    return texts.mapInArrow(run, "block long, flush long, cells binary, counts binary").groupBy("block").applyInArrow(added, "cell long, n long, key long")
 
 
-def _bitmap(cells: DataFrame):
-    """The cells' bitmap, a broadcast of fixed size."""
-    bit = F.shiftrightunsigned("cell", 64 - BITS)
+def _bitmap(cells: DataFrame, key: str):
+    """The bitmap of a column of ``cells``, a broadcast of fixed size."""
+    bit = F.shiftrightunsigned(key, 64 - BITS)
     words = cells.select(F.shiftright(bit, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     words = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2^(BITS - 6) rows
     bitmap = np.zeros(1 << (BITS - 6), np.uint64)
@@ -186,26 +208,28 @@ def _bitmap(cells: DataFrame):
     return cells.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
 
-def _phrases(texts: DataFrame, heavy) -> DataFrame:
-    """(cell, lang, phrase, y, z, x, w) of the phrases of two and three words whose cells ``heavy``, a broadcast bitmap, has.
+def _phrases(texts: DataFrame, chosen, anywhere: bool = False) -> DataFrame:
+    """(cell, lang, phrase, x, y, z, w) of phrases of two and three words; ``chosen``, a broadcast bitmap, says which cells in which flush, or, if ``anywhere``, in all.
 
     x and y are the cells of the parts after a cut behind the first word, z and w after one behind the second.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(heavy.value, np.uint64)
-        for batch in batches:
-            for lang, blob in _by_language(batch, FLUSH):
-                words = Words(blob, lang)
-                one, two, three = (words.cells(n) for n in (1, 2, 3))
-                for n, cells in ((2, two), (3, three)):
-                    at = np.flatnonzero(words.whole(n) & _known(bitmap, cells))
-                    at = at[np.unique(cells[at], return_index=True)[1]]
-                    part = {"x": one[at], "y": one[at + 1]} if n == 2 else {"x": one[at], "y": two[at + 1], "z": two[at], "w": one[at + 2]}
-                    columns = {"cell": cells[at]} | part
-                    arrays = {k: pa.array(v.view(np.int64)) for k, v in columns.items()} | {k: pa.nulls(len(at), pa.int64()) for k in "xyzw" if k not in part}
-                    arrays |= {"lang": pa.array([lang] * len(at), pa.string()), "phrase": pa.array([words.phrase(i, n) for i in at.tolist()], pa.string())}
-                    yield pa.RecordBatch.from_pydict({k: arrays[k] for k in ("cell", "lang", "phrase", "x", "y", "z", "w")})
+        bitmap, sent = np.frombuffer(chosen.value, np.uint64), np.zeros(0, np.uint64)
+        for flush, lang, blob, last in _flushes(batches):
+            words = Words(blob, lang)
+            one, two, three = (words.cells(n) for n in (1, 2, 3))
+            for n, cells in ((2, two), (3, three)):
+                at = np.flatnonzero(words.whole(n) & _known(bitmap, cells if anywhere else _in_flush(cells, flush)))
+                at = at[np.unique(cells[at], return_index=True)[1]]
+                at = at[~np.isin(cells[at], sent)]
+                sent = np.concatenate([sent, cells[at]])
+                columns = {"cell": cells[at], "x": one[at], "y": one[at + 1]} if n == 2 else {"cell": cells[at], "x": one[at], "y": two[at + 1], "z": two[at], "w": one[at + 2]}
+                arrays = {k: pa.array(v.view(np.int64)) for k, v in columns.items()} | {k: pa.nulls(len(at), pa.int64()) for k in "xyzw" if k not in columns}
+                arrays |= {"lang": pa.array([lang] * len(at), pa.string()), "phrase": pa.array([words.phrase(i, n) for i in at.tolist()], pa.string())}
+                yield pa.RecordBatch.from_pydict({k: arrays[k] for k in ("cell", "lang", "phrase", "x", "y", "z", "w")})
+            if last:
+                sent = np.zeros(0, np.uint64)
 
     return texts.mapInArrow(run, "cell long, lang string, phrase string, x long, y long, z long, w long")
 
@@ -273,10 +297,25 @@ def _key(score: str = "score", a: str = "a", phrase: str = "phrase") -> Column:
     return F.struct((-F.col(score)).alias("score"), (-F.col(a)).alias("a"), F.col(phrase).alias("phrase"))
 
 
-def _bounds(phrases: DataFrame, sums: DataFrame) -> DataFrame:
-    """(lang, phrase, cell, y, z, a, score, gone): bounds of the count and the score, and whether a longer phrase seems to put it out."""
+def _bounds(texts: DataFrame, many: DataFrame, sums: DataFrame) -> DataFrame:
+    """(lang, phrase, cell, a, score): bounds of the count and the score of each phrase of the cells ``many``; a written table.
+
+    Should a scan deal the texts to tasks in another way than the one before, places that had a cell lack it. That shows in the
+    number of cells, and the words are then taken from all places.
+    """
+    wanted = many.count()
+    for key in ("key", "cell"):
+        phrases = _phrases(texts, _bitmap(many, key), key == "cell").dropDuplicates(["cell", "lang", "phrase"])
+        found = written(_sides(written(phrases, "phrase-words"), sums), "phrase-bounds")
+        if found.select("cell").distinct().count() == wanted:
+            break
+    return found
+
+
+def _sides(phrases: DataFrame, sums: DataFrame) -> DataFrame:
+    """``phrases`` with the bounds that follow from ``sums``; those whose own cell is not in it are left out."""
     parts = phrases.select("cell", "lang", "phrase", F.explode(F.array(*(F.struct(F.lit(c).alias("role"), F.col(c).alias("part")) for c in ("cell", "x", "y", "z", "w")))).alias("p"))
-    known = parts.select("cell", "lang", "phrase", "p.*").where("part IS NOT NULL").join(sums.withColumnRenamed("cell", "part"), "part")
+    known = parts.select("cell", "lang", "phrase", "p.*").where("part IS NOT NULL").join(sums.select(F.col("cell").alias("part"), "n"), "part")
     sides = known.groupBy("lang", "phrase", "cell").agg(*(F.max(F.when(F.col("role") == c, F.col("n"))).alias(f"n_{c}") for c in ("cell", "x", "y", "z", "w")))
     found = sides.where("n_cell IS NOT NULL").withColumnRenamed("n_cell", "a")
     first, second = _score(F.col("a"), F.col("n_x"), F.col("n_y")), _score(F.col("a"), F.col("n_z"), F.col("n_w"))
@@ -329,10 +368,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     blocks = 1 << max(4, (size // BLOCK).bit_length())
 
     pairs = written(_sketch(texts, blocks, (1, 2)), "phrase-pairs")
-    triples = written(_sketch(texts, blocks, (3,), _bitmap(pairs)), "phrase-triples")
+    triples = written(_sketch(texts, blocks, (3,), _bitmap(pairs, "cell")), "phrase-triples")
     sums = pairs.union(triples)
-    phrases = written(_phrases(texts, _bitmap(sums)).dropDuplicates(["cell", "lang", "phrase"]), "phrase-words")
-    found = written(_bounds(phrases, sums), "phrase-bounds")
+    many = sums.where("cell % 2 = 0")
+    found = _bounds(texts, many, sums)
 
     longest = _longer(found).groupBy("lang", "phrase").agg(F.max("n_longer").alias("n_longer"))
     judged = found.join(longest, ["lang", "phrase"], "left").select("lang", "phrase", "a", "score", F.coalesce(100 * F.col("n_longer") >= SHARE * F.col("a"), F.lit(False)).alias("gone"))
