@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from weftline.functions import code, scores, vector
 from weftline.functions import text as tx
 from weftline.functions.prompts import prompt
-from weftline.operators import chunking, citations, embedding, fusion, keyword, related, rerank, similarity, store
+from weftline.operators import chunking, citations, embedding, fusion, inverted_index, keyword, related, rerank, similarity, store
 from weftline.operators.sizing import fresh_path, stored
 from weftline.plans import answer, ingestion, sql
 from weftline.sources import files
@@ -195,13 +195,13 @@ def bm25_postings(spark, sf_dir):
     return keyword.postings(_documents(spark, sf_dir))
 
 
-@query(f"WITH {sql.keyword_ctes(_DOCUMENTS, _ONE, 15)} SELECT token, df, round(idf, 6) AS idf FROM kw_idf")
+@query(f"WITH {sql.weight_ctes(_DOCUMENTS)} SELECT token, df, round(idf, 6) AS idf FROM kw_idf")
 def bm25_idf(spark, sf_dir):
     """B2, A6."""
     return keyword.token_idf(_documents(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
-@query(f"WITH {sql.keyword_ctes(_DOCUMENTS, _ONE, 15)} SELECT token, df, round(idf, 6) AS idf FROM kw_idf")
+@query(f"WITH {sql.weight_ctes(_DOCUMENTS)} SELECT token, df, round(idf, 6) AS idf FROM kw_idf")
 def bm25_added_documents(spark, sf_dir):
     """The idf of all documents from the stored counts of the even ones and those of the odd ones, added later."""
     docs = _documents(spark, sf_dir)
@@ -209,6 +209,25 @@ def bm25_added_documents(spark, sf_dir):
     return keyword.idf_of(keyword.add_frequencies(*parts), docs.agg(F.count("*").alias("n_chunks"))).withColumn("idf", F.round("idf", 6))
 
 
+@query(f"WITH {sql.keyword_ctes(_DOCUMENTS, _QUESTIONS, 15)} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM kw_top")
+def bm25_index_segments(spark, sf_dir):
+    """The stated questions against a stored index of three segments, appended one after another."""
+    docs = _documents(spark, sf_dir)
+    index = inverted_index.KeywordIndex(spark, fresh_path(spark, "index"))
+    for k in range(3):
+        index.append(docs.where(F.col("chunk_id") % 3 == k))
+    return index.search(_questions(spark, sf_dir), 15).top
+
+
+@query(f"""WITH {sql.weight_ctes(_DOCUMENTS)}, asked AS (SELECT DISTINCT query_id, unnest({sql.tokens('question')}) AS token FROM {_QUESTIONS})
+SELECT query_id, count(*) AS n_postings, true AS saved FROM asked JOIN kw_post USING (token) GROUP BY 1""")
+def bm25_index_work(spark, sf_dir):
+    """The postings of each stated question's words, and whether the search scored fewer of them."""
+    index = inverted_index.KeywordIndex(spark, fresh_path(spark, "index"))
+    index.append(_documents(spark, sf_dir))
+    return index.search(_questions(spark, sf_dir), 15).work.select("query_id", "n_postings", (F.col("n_scored") < F.col("n_postings")).alias("saved"))
+
+
 @query("SELECT 0::BIGINT AS query_id, 0::BIGINT AS n_hits")
 def bm25_no_corpus(spark, sf_dir):
     """Without chunks, and for a question without words, nothing is found."""

@@ -62,15 +62,20 @@ SELECT {keys}, unnest(range(len(c)))::INTEGER AS chunk_index, len(c)::INTEGER AS
   FROM (SELECT {keys}, x, s, {windows} AS w FROM (SELECT {keys}, x, {sentences('x')} AS s FROM (SELECT {keys}, {text} AS x FROM {source})))))"""
 
 
-def keyword_ctes(chunk_table: str, query_table: str, k: int | None) -> str:
-    """CTEs up to ``kw_top`` (query_id, chunk_id, score, rank) from (chunk_id, text) and (query_id, question)."""
-    cut = f"WHERE rank <= {k}" if k else ""
+def weight_ctes(chunk_table: str) -> str:
+    """CTEs up to ``kw_idf`` (token, df, idf) from (chunk_id, text)."""
     return f"""
 kw_tok AS (SELECT chunk_id, {tokens("coalesce(text, '')")} AS toks FROM {chunk_table}),
 kw_post AS (SELECT chunk_id, len(toks) AS dl, token, count(*) AS tf FROM (SELECT chunk_id, toks, unnest(toks) AS token FROM kw_tok) GROUP BY ALL),
 kw_stat AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM kw_tok),
 kw_raw AS (SELECT token, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM kw_post, kw_stat GROUP BY token),
-kw_idf AS (SELECT token, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM kw_raw) ELSE raw END AS idf FROM kw_raw),
+kw_idf AS (SELECT token, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM kw_raw) ELSE raw END AS idf FROM kw_raw)"""
+
+
+def keyword_ctes(chunk_table: str, query_table: str, k: int | None) -> str:
+    """CTEs up to ``kw_top`` (query_id, chunk_id, score, rank) from (chunk_id, text) and (query_id, question)."""
+    cut = f"WHERE rank <= {k}" if k else ""
+    return f"""{weight_ctes(chunk_table)},
 kw_ask AS (SELECT query_id, token, count(*) AS qf FROM (SELECT query_id, unnest({tokens('question')}) AS token FROM {query_table}) GROUP BY ALL),
 kw_sum AS (SELECT query_id, chunk_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
            FROM kw_ask JOIN kw_idf USING (token) JOIN kw_post USING (token), kw_stat GROUP BY ALL),
