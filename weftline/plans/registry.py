@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from weftline.functions import code, scores, vector
 from weftline.functions import text as tx
 from weftline.functions.prompts import prompt
-from weftline.operators import chunking, citations, embedding, fusion, inverted_index, keyword, related, rerank, similarity, store
+from weftline.operators import chunking, citations, embedding, fusion, inverted_index, keyword, related, rerank, sentences, similarity, store
 from weftline.operators.sizing import fresh_path, stored
 from weftline.plans import answer, ingestion, sql
 from weftline.sources import files
@@ -101,6 +101,22 @@ def sentence_counts(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
 
 
+@query(f"WITH {sql.punkt_ctes('documents', 'doc_id', 'text')} SELECT word, n, n_stop AS n_mark, score, 'abbreviation' AS kind FROM pk_short UNION ALL SELECT word, n, n_start, score, 'starter' FROM pk_start")
+def sentence_statistics(spark, sf_dir):
+    """What the texts say of abbreviations and sentence starters."""
+    learnt = sentences.learn(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return (
+        learnt.abbreviations.withColumnRenamed("n_stop", "n_mark").withColumn("kind", F.lit("abbreviation")).union(learnt.starters.withColumnRenamed("n_start", "n_mark").withColumn("kind", F.lit("starter")))
+    )
+
+
+@query(f"WITH {sql.punkt_ctes('documents', 'doc_id', 'text')} SELECT id AS doc_id, sentence_no::INTEGER AS sentence_no, sentence FROM pk_sentences")
+def statistical_sentences(spark, sf_dir):
+    """The sentences of all documents by these statistics."""
+    docs = _table(spark, sf_dir, "documents")
+    return sentences.sentences(docs, sentences.learn(docs, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 @query("SELECT sha256(text) AS key, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1")
 def embedding_dedupe_key(spark, sf_dir):
     """Texts that an embedding cache would hold once."""

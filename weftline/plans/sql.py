@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftline.functions import text as t
+from weftline.operators import sentences as st
 
 
 def values(rows: list[tuple], columns: str) -> str:
@@ -50,6 +51,39 @@ def sentences(x: str) -> str:
     return f"list_filter(list_transform(regexp_extract_all({x}, '{t.SENTENCE}'), lambda s: {strip('s')}), lambda s: length(s) > {t.MIN_SENTENCE})"
 
 
+def punkt_ctes(table: str, key: str, text: str) -> str:
+    """CTEs up to ``pk_sentences`` (id, sentence_no, sentence), with the tables of abbreviations and starters."""
+    quoted = {k: v.replace("'", "''") for k, v in {"fragment": st.FRAGMENT, "last": st._LAST, "next": st._NEXT, "stop": st._STOP}.items()}
+
+    def log(p: str, k: str, n: str) -> str:
+        return f"({k} * ln({p}) + ({n} - {k}) * ln(1.0::DOUBLE - {p}))"
+
+    def kept(p: str) -> str:
+        return f"least(greatest({p}, 1e-9), 1 - 1e-9)"
+
+    letters = "(length(word) - inside)"
+    return f"""
+pk_words AS (SELECT word, count(*) AS n, count(*) FILTER (regexp_matches(w, '[^.]\\.$')) AS n_stop
+  FROM (SELECT w, regexp_replace(w, '\\.+$', '') AS word FROM (SELECT unnest(regexp_extract_all(lower({text}), '{st.WORD}')) AS w FROM {table})) GROUP BY word),
+pk_total AS (SELECT sum(n)::DOUBLE AS total, sum(n_stop)::DOUBLE AS stops FROM pk_words),
+pk_rated AS (SELECT word, n, n_stop, length(word) - length(replace(word, '.', '')) AS inside,
+  2 * ({log(str(st.STOPS) + '::DOUBLE', 'n_stop::DOUBLE', 'n::DOUBLE')} - {log(kept('stops / total'), 'n_stop::DOUBLE', 'n::DOUBLE')}) AS ratio FROM pk_words, pk_total WHERE n_stop > 0),
+pk_short AS (SELECT * FROM (SELECT word, n, n_stop, round(ratio * exp(-{letters}::DOUBLE) * (inside + 1) * pow({letters}::DOUBLE, -(n - n_stop)::DOUBLE), 6) AS score FROM pk_rated) WHERE score >= {st.ABBREVIATION}),
+pk_cut AS (SELECT {key} AS id, regexp_extract_all({text}, '{quoted["fragment"]}') AS f FROM {table}),
+pk_each AS (SELECT id, unnest(range(len(f))) AS i, unnest(f) AS fragment FROM pk_cut),
+pk_next AS (SELECT *, lead(fragment) OVER (PARTITION BY id ORDER BY i) AS following FROM pk_each),
+pk_pieces AS (SELECT id, i, fragment, lower(regexp_extract(fragment, '{quoted["last"]}', 1)) AS word, regexp_extract(following, '{quoted["next"]}', 1) AS next, regexp_matches(fragment, '{quoted["stop"]}') AS stop FROM pk_next),
+pk_ends AS (SELECT word, lower(next) AS next FROM pk_pieces WHERE stop AND word <> '' AND next <> '' AND word NOT IN (SELECT word FROM pk_short)),
+pk_follow AS (SELECT next AS word, count(*)::DOUBLE AS k FROM pk_ends GROUP BY 1),
+pk_start AS (SELECT * FROM (SELECT word, n, k::BIGINT AS n_start, round(2 * ({log(kept('k / e'), 'k', 'e')} + {log(kept('(n - k) / (total - e)'), '(n - k)', '(total - e)')} - {log(kept('n / total'), 'k', 'e')} - {log(kept('n / total'), '(n - k)', '(total - e)')}), 4) AS score
+  FROM pk_follow JOIN pk_words USING (word), pk_total, (SELECT count(*)::DOUBLE AS e FROM pk_ends) WHERE k * total > e * n) WHERE score >= {st.STARTER}),
+pk_judged AS (SELECT id, i, fragment, CASE WHEN stop AND coalesce(regexp_matches(next, '^\\p{{Ll}}') OR (length(word) = 1 AND regexp_matches(next, '^\\p{{Lu}}'))
+    OR (word IN (SELECT word FROM pk_short) AND NOT (lower(next) IN (SELECT word FROM pk_start) AND regexp_matches(next, '^\\p{{Lu}}'))), false) THEN 0 ELSE 1 END AS ends FROM pk_pieces),
+pk_no AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM pk_judged),
+pk_whole AS (SELECT id, no, {strip("string_agg(fragment, '' ORDER BY i)")} AS sentence FROM pk_no GROUP BY id, no),
+pk_sentences AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY no) - 1 AS sentence_no, sentence FROM pk_whole WHERE sentence <> '')"""
+
+
 def chunks(source: str, keys: str, text: str, size: int = 12, overlap: int = 2, least: int = 50) -> str:
     """(keys, chunk_index, total_chunks, chunk_text) of ``source``."""
     step = size - overlap if size > overlap else size
