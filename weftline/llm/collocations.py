@@ -49,6 +49,8 @@ FLUSH, BLOCK = 8_000_000, 8_000_000
 PART, ROWS = 1_000_000, 1024
 #: Phrases of one automaton, and candidates beyond ``top`` that are counted at first, in hundredths of ``top``.
 PATTERNS, MARGIN = 200_000, 125
+#: Parts of a language that are ranked on their own first.
+DEALT = 64
 
 _SPACE, _BREAK = b" \t", b".,;:!?\n\x0b\x0c\r"
 _ROUNDS = 12
@@ -337,8 +339,11 @@ def _words(phrase: Column) -> Column:
 
 
 def _ranked(rows: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` of each language with their rank."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
+    """The first ``top`` of each language with their rank: of ``DEALT`` parts of it first, so that one language is many tasks."""
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(DEALT)))
+    parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("part", "rank")
+    return parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
 
 
 def _exact(wanted: DataFrame, patterns: DataFrame) -> DataFrame:
