@@ -310,6 +310,14 @@ def cosine_topk_batch(spark, sf_dir):
     return similarity.cosine_topk(vectors, asked, 10, id_col="vec_id")
 
 
+@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM {_BATCH} WHERE score >= 0) WHERE rank <= 10")
+def cosine_index_topk(spark, sf_dir):
+    """V4, V5, V7: the same through an index of cells, in two rounds with exact bounds."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return similarity.vector_index(vectors, "vec_id").search(asked, 10)
+
+
 @query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM {_BATCH} WHERE score >= 0.25) WHERE rank <= 20")
 def cosine_threshold(spark, sf_dir):
     """V2, V3 with a threshold."""
