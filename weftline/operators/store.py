@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -57,8 +58,8 @@ class ChunkStore:
         return store_stats(self.load())
 
 
-def numbered(chunks: DataFrame, first: int) -> DataFrame:
-    """``chunks`` with gapless chunk_id from ``first`` in the order of doc_id, chunk_index.
+def numbered(chunks: DataFrame, first: int, order: Sequence[str] = ("doc_id", "chunk_index"), name: str = "chunk_id") -> DataFrame:
+    """``chunks`` with gapless numbers from ``first`` in a column ``name``, in the order of doc_id, chunk_index or other columns.
 
     Rows are ranged and sorted, numbered inside each range, and moved by the counts of the ranges before, so that no
     task sees all rows. The chunks are written before they are ranged, so that the sampling of the ranges reads two columns
@@ -67,12 +68,12 @@ def numbered(chunks: DataFrame, first: int) -> DataFrame:
     """
     if taken := {"__part", "__i", "__before"} & set(chunks.columns):
         raise ValueError(f"columns are named {sorted(taken)}")
-    ranged = stored(chunks, "chunks").repartitionByRange("doc_id", "chunk_index").sortWithinPartitions("doc_id", "chunk_index")
+    ranged = stored(chunks, "chunks").repartitionByRange(*order).sortWithinPartitions(*order)
     placed = stored(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)), "ranges")
     parts = placed.groupBy("__part").agg(F.count("*").alias("__n"))  # one row per partition
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return placed.join(F.broadcast(offsets), "__part").withColumn("chunk_id", F.col("__i") + F.col("__before") + first).drop("__part", "__i", "__before")
+    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__i") + F.col("__before") + first).drop("__part", "__i", "__before")
 
 
 def conform(chunks: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from weftline.functions import code, scores, vector
 from weftline.functions import text as tx
 from weftline.functions.prompts import prompt
-from weftline.operators import chunking, citations, embedding, fusion, inverted_index, keyword, related, rerank, sentences, similarity, store
+from weftline.operators import chunking, citations, embedding, fusion, inverted_index, keyword, lru, related, rerank, sentences, similarity, store
 from weftline.operators.sizing import fresh_path, stored
 from weftline.plans import answer, ingestion, sql
 from weftline.sources import files
@@ -133,6 +133,24 @@ def cache_stats(spark, sf_dir):
 # chunks --------------------------------------------------------------------------------------------------------------
 
 
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS i, doc_id, sha256(text) AS key FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, lag(i) OVER (PARTITION BY key ORDER BY i) AS p FROM a),
+d AS (SELECT b.i, count(DISTINCT a.key) AS n FROM b JOIN a ON a.i > b.p AND a.i < b.i GROUP BY b.i)
+SELECT doc_id, p IS NOT NULL AND coalesce(n, 0) < 500 AS hit FROM b LEFT JOIN d USING (i)""")
+def cache_lru_hits(spark, sf_dir):
+    """Which documents a cache of 500 embeddings knows already, in order."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", tx.text_key(F.col("text")).alias("text_key"))
+    return lru.lru(docs, ["doc_id"], "text_key", 500).accesses.select("doc_id", "hit")
+
+
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS i, sha256(text) AS key FROM conversations WHERE text IS NOT NULL)
+SELECT key, rank::INTEGER AS rank FROM (SELECT key, row_number() OVER (ORDER BY max(i) DESC) AS rank FROM a GROUP BY key) WHERE rank <= 100""")
+def cache_lru_contents(spark, sf_dir):
+    """What a cache of 100 embeddings holds after all turns."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.text_key(F.col("text")).alias("text_key"))
+    return lru.lru(turns, ["conv_id", "turn"], "text_key", 100).contents
+
+
 @query(f"SELECT * FROM {sql.chunks('documents', 'doc_id, source', sql.clean('text'))}")
 def sentence_chunks(spark, sf_dir):
     """The chunks of all documents."""
