@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -32,11 +33,14 @@ class HashingEmbedder:
         self.dim, self.name = dim, f"hashing-{dim}"
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        """Vectors of ``texts``; a text without tokens is the zero vector."""
+        """Vectors of ``texts``; a text without tokens is the zero vector. Each distinct token of the texts is hashed once."""
         out = np.zeros((len(texts), self.dim))
+        buckets: dict[str, int] = {}
         for row, text in zip(out, texts, strict=True):
-            for token in regex.findall(r"[\p{L}\p{N}_]+", text.lower()):
-                row[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim] += 1
+            for token, n in Counter(regex.findall(r"[\p{L}\p{N}_]+", text.lower())).items():
+                if token not in buckets:
+                    buckets[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+                row[buckets[token]] += n
         length = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, length, out=out, where=length > 0)
 
