@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from weftline.functions import code, scores, vector
 from weftline.functions import text as tx
 from weftline.functions.prompts import prompt
-from weftline.operators import chunking, citations, embedding, fusion, inverted_index, keyword, lru, related, rerank, sentences, similarity, store
+from weftline.operators import chunking, citations, embedding, fusion, inverted_index, keyword, lru, question_scan, related, rerank, sentences, similarity, store
 from weftline.operators.sizing import fresh_path, stored
 from weftline.plans import answer, ingestion, sql
 from weftline.sources import files
@@ -472,6 +472,36 @@ def highlight_spans(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
 
 
+_ASKED = f"(SELECT DISTINCT unnest({sql.tokens('question')}) AS word FROM {_QUESTIONS})"
+_PLACES = f"(SELECT word, count(*) FILTER (n > 0) AS n_texts, sum(n)::BIGINT AS n_places FROM (SELECT word, len(string_split(lower(text), word)) - 1 AS n FROM documents, {_ASKED} WHERE text IS NOT NULL) GROUP BY word HAVING sum(n) > 0)"
+
+
+@query(f"SELECT word, n_texts, n_places FROM {_PLACES}")
+def question_word_places(spark, sf_dir):
+    """Every word of the stated questions in all documents, each document read once."""
+    words = question_scan.question_words(_questions(spark, sf_dir))
+    return question_scan.word_places(_table(spark, sf_dir, "documents"), words)
+
+
+@query(f"""SELECT query_id, count(*) AS n_words, sum(n_places)::BIGINT AS n_places, max(n_texts) AS most_texts
+FROM (SELECT query_id, unnest(list_distinct({sql.tokens('question')})) AS word FROM {_QUESTIONS}) JOIN {_PLACES} USING (word) GROUP BY query_id""")
+def question_places(spark, sf_dir):
+    """For each stated question how many of its words are in documents, and in how many places."""
+    asked = _questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("question")))).alias("word"))
+    places = stored(question_scan.word_places(_table(spark, sf_dir, "documents"), asked.select("word").distinct()), "places")
+    each = asked.join(places, "word").groupBy("query_id")
+    return each.agg(F.count("*").alias("n_words"), F.sum("n_places").alias("n_places"), F.max("n_texts").alias("most_texts"))
+
+
+@query(f"""SELECT doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_covered, min(s) AS first_start, max(e) AS last_end FROM {sql.spans(f"(SELECT doc_id, text, (SELECT string_agg(question, ' ') FROM {_QUESTIONS}) AS question FROM documents)", 'doc_id', 'text', 'question')} GROUP BY doc_id""")
+def question_spans_merged(spark, sf_dir):
+    """What the stated questions together mark in each document, merged across rows."""
+    words = question_scan.question_words(_questions(spark, sf_dir))
+    spans = question_scan.merge_rows(question_scan.word_spans(_table(spark, sf_dir, "documents"), words))
+    covered = F.sum(F.col("end") - F.col("start"))
+    return spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"), covered.alias("n_covered"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
+
+
 CITE_ROWS = [(0, "ends with the match", "match"), (1, "aaa aa", "aa a"), (2, "thing in things", "in thing"), (3, "one\ntwo one\nthree one", "one two one"), (4, "", "x"), (5, "no hit", "zzz"), (6, "über ÜBER", "über"), (7, "x" * 600 + " tail", "tail")]
 _CITE = sql.values(CITE_ROWS, "id BIGINT, text VARCHAR, question VARCHAR")
 
