@@ -15,6 +15,8 @@ from weftline.operators import chunking, citations, embedding, fusion, inverted_
 from weftline.operators.sizing import fresh_path, stored
 from weftline.plans import answer, ingestion, sql
 from weftline.sources import files
+from weftline.streaming import ingest as streaming
+from weftline.streaming import unique
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -659,6 +661,19 @@ def store_round_trip(spark, sf_dir):
     return kept.load().select("chunk_id", "doc_id", "chunk_index", "text")
 
 
+@query(f"""SELECT token, count(*) AS df FROM (SELECT text, chunk_index, unnest(list_distinct({sql.tokens('chunk_text')})) AS token
+FROM {sql.chunks('(SELECT DISTINCT text FROM documents)', 'text', sql.clean('text'))}) GROUP BY token""")
+def stream_unique_frequencies(spark, sf_dir):
+    """Documents that arrive in two runs of a stream, some again in the second; each text is counted once."""
+    arrived, segments, checkpoint = (fresh_path(spark, name) for name in ("arrived", "segments", "stream"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    for part in ("doc_id % 2 = 0", "doc_id % 4 <> 2 OR doc_id IS NULL"):
+        docs.where(part).write.mode("append").parquet(arrived)
+        stream = streaming.stream_documents(spark, arrived, "doc_id long, source string, text string")
+        unique.ingest_unique(stream, segments, checkpoint).awaitTermination()
+    return unique.frequencies(spark, segments)
+
+
 # whole plans ---------------------------------------------------------------------------------------------------------
 
 _CHUNKS = "chunks"
