@@ -67,6 +67,20 @@ def test_spans_of_all_questions_as_rows(spark):
     assert qs.merge_rows(qs.word_spans(texts, words.limit(0))).count() == 0
 
 
+def test_covered_positions_of_all_questions(spark):
+    texts, words = frames(spark)
+    texts = texts.union(spark.createDataFrame([(9, "x" * 50 + "the" * 40 + "x" * 60 + "aa", "x", 1, 2), (10, "-" * 63 + "aa", "x", 1, 2), (11, "-" * 62 + "an" + "the", "x", 1, 2)], texts.schema))
+    spans = {}
+    for row in texts.collect():
+        for w in WORDS:
+            spans.setdefault(row.doc_id, []).extend(places(w, (row.text or "").lower()))
+    each = {k: merged(v) for k, v in spans.items() if v}
+    wanted = {(k, len(v), sum(e - s for s, e in v), v[0][0], v[-1][1]) for k, v in each.items()}
+    for block in (qs.BLOCK_WORDS, 2):
+        assert {tuple(r) for r in qs.covered_summary(qs.covered_cells(texts, words, block_words=block)).collect()} == wanted
+    assert qs.covered_summary(qs.covered_cells(texts, words.limit(0))).count() == 0
+
+
 def test_one_question_as_its_highlights(spark):
     texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     question = "the and of tionnd anea anan notaword"

@@ -5,7 +5,8 @@ there are. At most ``BLOCK_WORDS`` words are in an automaton, the bound on what
 words are dealt by hash into blocks, and each block reads the texts again. Words are found as ``citations.keyword_spans``
 finds them: lower-cased, also inside longer words, and places of one word do not overlap one another.
 
-Rows are merged by a sweep line in tiles of ``TILE`` positions. A tile is merged by itself; of each tile only the furthest end and the
+Marks of many questions merge as bits of covered positions (``covered_cells``), a row for 64 positions. Spans that come as
+rows, from wherever, are merged by ``merge_rows``, a sweep line in tiles of ``TILE`` positions. A tile is merged by itself; of each tile only the furthest end and the
 last beginning go through the window over a key, so a key with most of the rows is spread over as many tasks as it has tiles.
 
 Null texts, questions, and spans with a null place have no rows; empty ones neither. Repeated texts and ids count each by itself
@@ -30,6 +31,7 @@ BLOCK_WORDS = 200_000
 #: Characters that a worker looks at together; a longer text is looked at alone.
 SLICE_CHARS = 500_000
 TILE = 4_096
+CELL = 64
 
 
 def question_words(questions: DataFrame, question: str = "question") -> DataFrame:
@@ -59,13 +61,18 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
         yield begin, held
 
 
+def _overlaps_itself(word: str) -> bool:
+    """Whether two places of the word can overlap: whether it ends as it begins."""
+    return any(word.startswith(word[i:]) for i in range(1, len(word)))
+
+
 def _apart(word: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Which places, sorted by word and start, are left when places of a word may not overlap: the leftmost first."""
     keep = np.ones(len(word), bool)
     close = (word[1:] == word[:-1]) & (start[1:] - start[:-1] < length[1:])
     free = -1
     for i in np.flatnonzero(close) + 1:
-        if not close[i - 2] or i < 2:  # a chain begins: the place before stays
+        if i < 2 or not close[i - 2]:  # a chain begins: the place before stays
             free = start[i - 1] + length[i - 1]
         keep[i] = start[i] >= free
         if keep[i]:
@@ -73,15 +80,23 @@ def _apart(word: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return keep
 
 
-def _places(automaton: ahocorasick.Automaton, sizes: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _places(automaton: ahocorasick.Automaton, sizes: np.ndarray, chained: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, start in the joined texts, begin of each text); a word has no line break, so no place spans two texts."""
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
     found = np.fromiter(automaton.iter("\n".join(texts)), dtype=[("end", np.int64), ("word", np.int64)])
-    start = found["end"] + 1 - sizes[found["word"]]
-    order = np.lexsort((start, found["word"]))
-    word, start = found["word"][order], start[order]
-    keep = _apart(word, start, sizes[word])
-    return word[keep], start[keep], begins
+    word, start = found["word"], found["end"] + 1 - sizes[found["word"]]
+    if (mine := chained[word]).any():
+        some = np.flatnonzero(mine)
+        some = some[np.lexsort((start[some], word[some]))]
+        keep = ~mine
+        keep[some] = _apart(word[some], start[some], sizes[word[some]])
+        word, start = word[keep], start[keep]
+    return word, start, begins
+
+
+def _covered(start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` positions some place covers."""
+    return np.cumsum(np.bincount(start, minlength=size + 1) - np.bincount(end, minlength=size + 1))[:size] > 0
 
 
 def _scan(texts: DataFrame, key: Column, text: str, words: list[str], emit: Callable, schema: str) -> DataFrame:
@@ -93,34 +108,47 @@ def _scan(texts: DataFrame, key: Column, text: str, words: list[str], emit: Call
             automaton.add_word(word, i)
         automaton.make_automaton()
         sizes = np.array([len(w) for w in sent.value], np.int64)
+        chained = np.array([_overlaps_itself(w) for w in sent.value], bool)
         for batch in batches:
             for first, held in _slices(batch):
-                yield emit(batch.column(0).slice(first, len(held)), sent.value, sizes, *_places(automaton, sizes, held))
+                yield emit(batch.column(0).slice(first, len(held)), sent.value, sizes, *_places(automaton, sizes, chained, held))
 
     return texts.where(F.length(text) > 0).select(key.alias("key"), F.lower(text).alias("text")).mapInArrow(run, schema)
 
 
 def _counted(keys, words, sizes, word, start, begins) -> pa.RecordBatch:
     at = np.searchsorted(begins, start, "right") - 1
-    fresh = np.ones(len(word), bool)
-    fresh[1:] = (word[1:] != word[:-1]) | (at[1:] != at[:-1])
-    places, holders = np.bincount(word, minlength=len(words)), np.bincount(word[fresh], minlength=len(words))
+    holders = np.bincount(np.unique(word * len(begins) + at) // len(begins), minlength=len(words))
+    places = np.bincount(word, minlength=len(words))
     seen = np.flatnonzero(places)
     return pa.RecordBatch.from_arrays([pa.array([words[i] for i in seen], pa.string()), pa.array(holders[seen], pa.int64()), pa.array(places[seen], pa.int64())], ["word", "n_texts", "n_places"])
 
 
 def _spanned(keys, words, sizes, word, start, begins) -> pa.RecordBatch:
     """Spans that touch or overlap as one: what no span covers parts them, and line breaks between texts are not covered."""
-    covering = np.zeros(begins[-1] + 1, np.int32)
-    np.add.at(covering, start, 1)
-    np.add.at(covering, start + sizes[word], -1)
-    inside = np.concatenate([[False], np.cumsum(covering) > 0])
+    inside = np.concatenate([[False], _covered(start, start + sizes[word], begins[-1] + 1)])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edges[0::2], edges[1::2]
     at = np.searchsorted(begins, begin, "right") - 1
     return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(begin - begins[at], pa.int32()), pa.array(end - begins[at], pa.int32())], ["key", "start", "end"])
 
 
+def _celled(keys, words, sizes, word, start, begins) -> pa.RecordBatch:
+    """The covered positions of each text as bits, 64 to a cell, and whether the position before a cell is covered."""
+    cells = -(-np.diff(begins) // CELL)
+    bases = np.concatenate([[0], np.cumsum(cells)])
+    at = np.searchsorted(begins, start, "right") - 1
+    moved = start - begins[at] + bases[at] * CELL  # each text begins with a cell
+    inside = _covered(moved, moved + sizes[word], int(bases[-1]) * CELL)
+    bits = np.packbits(inside, bitorder="little").view("<i8")
+    before = np.concatenate([[False], inside[CELL - 1 :: CELL][:-1]])
+    before[bases[:-1]] = False
+    held = np.flatnonzero((bits != 0) | before)  # a cell after a covered position is sent though empty: another row may cover it
+    of = np.searchsorted(bases, held, "right") - 1
+    cell, before = held - bases[of], before[held].astype(np.int64)
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(cell, pa.int32()), pa.array(bits[held], pa.int64()), pa.array(before, pa.int64())], ["key", "cell", "bits", "before"])
+
+
 def word_places(texts: DataFrame, words: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(word, n_texts, n_places): in how many texts, and how often in all, each word is; words in no text have no row."""
     schema, found = "word string, n_texts long, n_places long", None
@@ -143,6 +171,35 @@ def word_spans(texts: DataFrame, words: DataFrame, key: str = "doc_id", text: st
     return found.withColumnRenamed("key", key)
 
 
+def covered_cells(texts: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(key, cell, bits, before): the positions of each key that any of the words covers, over all blocks and rows, as bits.
+
+    Bit i of a cell is position ``64 * cell + i``; ``before`` is 1 if the position before the cell is covered. Spans that
+    touch or overlap are one run of covered positions, so that bits merge them whatever row they come from, before the shuffle too.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+    schema, found = f"key {kind}, cell int, bits long, before long", None
+    for block in _blocks(words, block_words):
+        part = _scan(texts, F.col(key), text, block, _celled, schema)
+        found = part if found is None else found.unionByName(part)
+    found = texts.sparkSession.createDataFrame([], schema) if found is None else found
+    return found.groupBy("key", "cell").agg(F.bit_or("bits").alias("bits"), F.max("before").alias("before")).withColumnRenamed("key", key)
+
+
+def covered_summary(cells: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_spans, n_covered, first_start, last_end) of ``covered_cells``; a key without spans has no row."""
+    begins = F.col("bits").bitwiseAND(F.bitwise_not(F.shiftleft("bits", 1).bitwiseOR(F.col("before"))))
+    digits = F.bin("bits")
+    first = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
+    at = F.col("cell") * CELL
+    return cells.groupBy(key).agg(
+        F.sum(F.bit_count(begins)).alias("n_spans"),
+        F.sum(F.bit_count("bits")).alias("n_covered"),
+        F.min(F.when(F.col("bits") != 0, at + first)).alias("first_start"),
+        F.max(F.when(F.col("bits") != 0, at + F.length(digits))).alias("last_end"),
+    )
+
+
 def merge_rows(spans: DataFrame, key: str = "doc_id", tile: int = TILE) -> DataFrame:
     """(key, start, end): spans that arrive as rows, those of a key that touch or overlap as one; a null key is a key."""
     placed = spans.where("start IS NOT NULL AND end IS NOT NULL").select(F.col(key).alias("k"), "start", "end")

@@ -499,9 +499,7 @@ def question_places(spark, sf_dir):
 def question_spans_merged(spark, sf_dir):
     """What the stated questions together mark in each document, merged across rows."""
     words = question_scan.question_words(_questions(spark, sf_dir))
-    spans = question_scan.merge_rows(question_scan.word_spans(_table(spark, sf_dir, "documents"), words))
-    covered = F.sum(F.col("end") - F.col("start"))
-    return spans.groupBy("doc_id").agg(F.count("*").alias("n_spans"), covered.alias("n_covered"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
+    return question_scan.covered_summary(question_scan.covered_cells(_table(spark, sf_dir, "documents"), words))
 
 
 CITE_ROWS = [(0, "ends with the match", "match"), (1, "aaa aa", "aa a"), (2, "thing in things", "in thing"), (3, "one\ntwo one\nthree one", "one two one"), (4, "", "x"), (5, "no hit", "zzz"), (6, "über ÜBER", "über"), (7, "x" * 600 + " tail", "tail")]
