@@ -39,12 +39,14 @@ def question_words(questions: DataFrame, question: str = "question") -> DataFram
     return questions.select(F.explode(F.array_distinct(tokens(F.col(question)))).alias("word")).distinct()
 
 
-def _blocks(words: DataFrame, block_words: int) -> list[list[str]]:
+def _blocks(words: DataFrame, block_words: int) -> Iterator[list[str]]:
+    """The words, one block after another, so that the driver holds one at a time."""
     n = words.count()
     count = -(-n // block_words)
     dealt = words.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(max(count, 1))))
-    held = [sorted(r.word for r in dealt.where(F.col("block") == b).select("word").collect()) for b in range(count)]
-    return [words for words in held if words]
+    for b in range(count):
+        if held := sorted(r.word for r in dealt.where(F.col("block") == b).select("word").collect()):
+            yield held
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
