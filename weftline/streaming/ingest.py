@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.functions.text import clean_text
 from weftline.operators.chunking import explode_chunks, sentence_windows
 from weftline.operators.store import ChunkStore
 
@@ -20,8 +19,7 @@ def stream_documents(spark: SparkSession, path: str, schema: str = "doc_id strin
 
 def stream_chunks(docs: DataFrame, size: int = 12, overlap: int = 2) -> DataFrame:
     """Chunks of a stream (or table) of documents; stateless, so no watermark is needed."""
-    cleaned = docs.withColumn("__clean", clean_text(F.col("text")))
-    return explode_chunks(cleaned, sentence_windows(F.col("__clean"), size, overlap), "doc_id", "source").withColumnRenamed("chunk_text", "text")
+    return explode_chunks(docs, sentence_windows(F.col("text"), size, overlap, clean=True), "doc_id", "source").withColumnRenamed("chunk_text", "text")
 
 
 def ingest_stream(docs: DataFrame, store: ChunkStore, checkpoint: str, available_now: bool = True) -> StreamingQuery:
