@@ -5,10 +5,10 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
-from test_near_dedup import plain_components
+from test_near_dedup import plain_components, plain_print
 
 import corpus_pipeline
-from weftline.llm import near_copies
+from weftline.llm import near_copies, simhash
 
 
 def plain_set(text):
@@ -45,3 +45,29 @@ def test_rows_that_repeat_or_lack_an_id(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, rows, "").collect()]
     assert sorted(got, key=str) == sorted([(1, copy), (2, other), (2, other), (None, "alone here")], key=str)
     assert corpus_pipeline.near_stage(spark, rows.limit(0), "").count() == 0
+
+
+def test_stage_links_by_covering_hashing_first(spark, monkeypatch):
+    """What op4's operator links is checked and known before buckets are compared; the rest is still found."""
+    base = [f"w{i}" for i in range(400)]
+    docs = {0: base, 1: [*base[:200], "x", *base[201:]], 2: base[:380], 3: [f"v{i}" for i in range(40)], 4: [f"v{i}" for i in range(39)]}
+    docs = {i: " ".join(words) for i, words in docs.items()}
+    near = [(a, b) for a, b in combinations(docs, 2) if (plain_print(docs[a]) ^ plain_print(docs[b])).bit_count() <= 3]
+    assert near and len(near) < 4
+    seen, links, buckets = [], simhash.links, near_copies.bucket_links
+
+    def linked(classes):
+        out = links(classes)
+        seen.append({frozenset((r.u, r.v)) for r in out.collect()})
+        return out
+
+    def compared(*args):
+        seen.append(args[-1].count())
+        return buckets(*args)
+
+    monkeypatch.setattr(near_copies.simhash, "links", linked)
+    monkeypatch.setattr(near_copies, "bucket_links", compared)
+    kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == plain_kept(docs)
+    signed = {i: p - (1 << 64) if (p := plain_print(t)) >= 1 << 63 else p for i, t in docs.items()}
+    assert seen == [{frozenset((signed[a], signed[b])) for a, b in near}, len(near)]
