@@ -32,3 +32,14 @@ def test_an_empty_corpus(spark):
     learnt = s.learn(none, "doc_id", "text")
     assert s.sentences(none, learnt).count() == 0
     assert {r.sentence for r in s.sentences(corpus(spark).where("doc_id = 4"), learnt).collect()} == {"..."}
+
+
+def test_no_text_is_shuffled_and_large_tables_are_joined(spark, monkeypatch):
+    docs = corpus(spark)
+    learnt = s.learn(docs, "doc_id", "text")
+    made = s.sentences(docs.repartition(3).cache(), learnt)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "Window" not in s.fragments(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(tuple, made.collect()))
+    monkeypatch.setattr(s, "KNOWN", 1)
+    assert sorted(map(tuple, s.sentences(docs, learnt).collect())) == rows

@@ -10,23 +10,28 @@ ends a sentence is learnt from all texts:
 A full stop behind an abbreviation or an initial does not end a sentence, unless a sentence starter with a capital
 follows; nor does one before a small letter. The other marks do, also before small letters. Numbers such as 3.5 hold no candidate.
 
-Counts are by word, with partial sums before the shuffle. The learnt tables are as large as the abbreviations of the
-corpus; they are broadcast if their counted rows are few. Decisions look at the next fragment through a window over one text.
+Counts are by word, with partial sums before the shuffle. A text stays in its row: fragments are an array, decisions look at
+the next one in it, and no text is shuffled. The learnt tables are as large as the abbreviations of the corpus; up to
+``KNOWN`` counted rows they go to the tasks as sets, beyond that fragments are joined with them and gathered by text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.functions.text import ANY_SPACE, stripped
+from weftline.functions.text import ANY_SPACE, HELD, SPACES, stripped
 from weftline.operators.sizing import small_side, stored
 
 #: Fixed values of the published method: least scores of abbreviations and starters, the share of stops behind an abbreviation.
 ABBREVIATION, STARTER, STOPS = 0.3, 30.0, 0.99
+#: Abbreviations and starters that go to every task as sets, at most.
+KNOWN = 20_000
 #: Characters that may follow a mark before the space.
 CLOSING = r"\x22'\)\]\x{bb}\x{201d}\x{2019}"
 #: A fragment: up to and with a token that ends in a mark, and the spaces behind it; or what is left.
@@ -46,11 +51,23 @@ class Learnt:
     starters: DataFrame
 
 
+def pieces_of(text: Column) -> Column:
+    """Of each fragment of a text, in order: fragment, the word before its full stop, the next fragment's first word, whether it ends in one full stop."""
+
+    def judged(every: Column) -> Column:
+        def piece(fragment: Column, i: Column) -> Column:
+            following = F.regexp_extract(F.get(every, i + 1), _NEXT, 1)
+            return F.struct(fragment.alias("fragment"), F.lower(F.regexp_extract(fragment, _LAST, 1)).alias("word"), following.alias("next"), fragment.rlike(_STOP).alias("stop"))
+
+        return F.transform(every, piece)
+
+    cut = F.regexp_extract_all(text, F.lit(FRAGMENT), F.lit(0))
+    return F.get(F.transform(F.array(cut), judged), F.lit(0))  # a text is cut once, however often its fragments are mentioned
+
+
 def fragments(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, i, fragment, word, next, stop): each fragment, the word before its full stop, the next fragment's first word, whether it ends in one full stop."""
-    cut = texts.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(FRAGMENT), F.lit(0))).alias("i", "fragment"))
-    following = F.lead("fragment").over(Window.partitionBy("id").orderBy("i"))
-    return cut.select("id", "i", "fragment", F.lower(F.regexp_extract("fragment", _LAST, 1)).alias("word"), F.regexp_extract(following, _NEXT, 1).alias("next"), F.col("fragment").rlike(_STOP).alias("stop"))
+    """(id, i, fragment, word, next, stop): the ``pieces_of`` each text."""
+    return texts.select(F.col(id_col).alias("id"), F.posexplode(pieces_of(F.col(text_col))).alias("i", "piece")).select("id", "i", "piece.*")
 
 
 def _log(p: Column, k: Column, n: Column) -> Column:
@@ -104,7 +121,51 @@ def sentences(texts: DataFrame, learnt: Learnt, id_col: str = "doc_id", text_col
 
     Null, empty and blank texts have none. Other columns are not read.
     """
-    pieces = fragments(texts, id_col, text_col)
+    known = learnt.abbreviations.select("word", F.lit(True).alias("short")).union(learnt.starters.select("word", F.lit(False))).limit(KNOWN + 1).collect()
+    if len(known) > KNOWN:
+        return _joined(fragments(texts, id_col, text_col), learnt)
+    made = _assembled(frozenset(r.word for r in known if r.short), frozenset(r.word for r in known if not r.short))
+    each = texts.select(F.col(id_col).alias("id"), _marked(pieces_of(F.col(text_col))).alias("pieces"))
+    return each.mapInArrow(made, f"id {each.schema['id'].dataType.simpleString()}, sentence_no int, sentence string")
+
+
+def _marked(pieces: Column) -> Column:
+    """Of each piece what decides: fragment, word, start (the next word in small letters), stop, goes_on (whatever is learnt), capital."""
+
+    def marked(p: Column) -> Column:
+        capital = F.coalesce(p["next"].rlike(r"^\p{Lu}"), F.lit(False))
+        goes_on = F.coalesce(p["next"].rlike(r"^\p{Ll}"), F.lit(False)) | (F.length(p["word"]) == 1) & capital
+        return F.struct(p["fragment"].alias("fragment"), p["word"].alias("word"), F.lower(p["next"]).alias("start"), p["stop"].alias("stop"), goes_on.alias("goes_on"), capital.alias("capital"))
+
+    return F.transform(pieces, marked)
+
+
+def _assembled(short: frozenset, starts: frozenset):
+    """An Arrow function: (id, ``_marked`` pieces) to numbered sentences, stripped, blank ones left out."""
+
+    def sentences_of(pieces: list | None) -> list[str]:
+        out, parts = [], []
+        for p in pieces or ():
+            parts.append(p["fragment"])
+            if not (p["stop"] and (p["goes_on"] or p["word"] in short and not (p["capital"] and p["start"] in starts))):
+                out.append("".join(parts).strip(SPACES))
+                parts = []
+        return list(filter(None, [*out, "".join(parts).strip(SPACES)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, HELD):
+                found = [sentences_of(p.as_py()) for p in whole.column(1).slice(at, HELD)]
+                rows = pa.array([i for i, each in enumerate(found) for _ in each], pa.int64())
+                numbers = pa.array([n for each in found for n in range(len(each))], pa.int32())
+                columns = [whole.column(0).slice(at, HELD).take(rows), numbers, pa.array([x for each in found for x in each], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "sentence_no", "sentence"])
+
+    return run
+
+
+def _joined(pieces: DataFrame, learnt: Learnt) -> DataFrame:
+    """The same from ``fragments`` by joins with the learnt tables, where these are too large for sets."""
     short = small_side(learnt.abbreviations.select(F.col("word").alias("short")))
     start = small_side(learnt.starters.select(F.col("word").alias("start")))
     judged = pieces.join(short, pieces.word == short.short, "left").join(start, F.lower(pieces.next) == start.start, "left")
