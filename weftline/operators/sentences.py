@@ -99,9 +99,9 @@ def abbreviations(counts: DataFrame) -> DataFrame:
 def starters(pieces: DataFrame, counts: DataFrame, known: DataFrame) -> DataFrame:
     """(word, n, n_start, score) of the sentence starters; ``pieces`` are fragments, ``known`` the abbreviations."""
     ends = pieces.where("stop AND word <> '' AND next <> ''").join(small_side(known.select("word")), "word", "left_anti")
-    follows = ends.groupBy(F.lower("next").alias("word")).agg(F.count("*").alias("n_start"))
+    follows = stored(ends.groupBy(F.lower("next").alias("word")).agg(F.count("*").alias("n_start")), "sentence-follows")  # texts are cut once
     total = counts.agg(F.sum("n").alias("total"))
-    ended = ends.agg(F.count("*").alias("ends"))
+    ended = follows.agg(F.sum("n_start").alias("ends"))
     each = follows.join(counts.select("word", "n"), "word").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(ended))  # one row each
     k, n, c, t = F.col("n_start").cast("double"), F.col("ends").cast("double"), F.col("n").cast("double"), F.col("total").cast("double")
     free, behind, else_ = _kept(c / t), _kept(k / n), _kept((c - k) / (t - n))
