@@ -40,6 +40,20 @@ def test_special_strings_are_the_library_s(plain):
     assert np.frombuffer(encode.WordEncoder(PATH)(["x <|endoftext|> y"])[0], "<u4").tolist() == plain("x <|endoftext|> y").ids == [87, 220, 50256, 331]
 
 
+def test_a_word_is_encoded_once_whatever_stands_behind_it(plain):
+    code, text = encode.WordEncoder(PATH), "x beta beta, beta.\nbeta beta!? (beta) beta"
+    assert np.frombuffer(code([text])[0], "<u4").tolist() == plain(text).ids
+    assert sorted(code.memory.now) == sorted(["beta", "(beta", *(encode.TAIL + x for x in (",", ".", "\n", "beta", "!?", ")"))])
+
+
+def test_cuts_in_words_keep_the_ids(plain):
+    rng = random.Random(5)
+    pieces = ["a", "Re", "ll", "s", "é", "ſ", "ƀ", "ß", "ª", "и", "e\u0301", "²", "½", "7", "'", "'s", "’", ",", ".", "\n", "\n", "\r", "\t", "_", "(", ")", " ", " ", " ", encode.TAIL, "\u00a0", "\u3000", "<|endoftext|>", "[", "`", "{", "@"]
+    texts = ["".join(rng.choice(pieces[:31] if i % 3 else pieces) for _ in range(rng.randrange(30))) for i in range(6000)]
+    for code in (encode.WordEncoder(PATH, 10), encode.WordEncoder(PATH)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in code(texts)] == [plain(t).ids for t in texts]
+
+
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError):
         encode.WordEncoder(encode.vocabulary("word_bpe_49k.json"))

@@ -22,8 +22,6 @@ from weftline.llm.shared import documents, fresh_path, written
 
 END_ID = 0
 ROW_INDEX_STRIDE = 1000
-#: Texts that are encoded at a time, so that a worker's memory follows the texts and not the row count.
-BATCH = 256
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -34,19 +32,18 @@ def write_ids(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = EN
     """
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, ordinal long, ids array<int>"
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, ordinal = encoder(vocabulary_path), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                ids = [x + end for x in encode(batch.column(1).to_pylist())]
-                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                values = np.frombuffer(b"".join(ids), "<i4")
-                place = np.arange(ordinal, ordinal + batch.num_rows)
-                ordinal += batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "ordinal", "ids"])
+        for batch in batches:
+            at = 0
+            for ids, ends in encode.arrays(batch.column(1)):
+                n = len(ends)
+                values = np.insert(ids, ends, end_id).view("<i4")
+                offsets = np.append(0, ends + np.arange(1, n + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.arange(ordinal, ordinal + n)), lists], names=["doc_id", "ordinal", "ids"])
+                at, ordinal = at + n, ordinal + n
 
     ranged = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     (
