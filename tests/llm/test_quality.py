@@ -27,6 +27,18 @@ def test_identity_equals_the_sum_over_pairs():
         assert np.isclose(z[row], want)
 
 
+def test_training_copies_no_numbers_on_the_driver(spark, monkeypatch):
+    """The sample stays in Arrow's buffers, in its own types; the fit is the one of 64-bit copies."""
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: seen.append((rows, labels)) or fit(rows, labels, 20))
+    model = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), sample_rows=60)
+    (rows, labels), = seen
+    assert rows and not any(x.flags.owndata for row in rows for x in row)
+    assert {tuple(x.dtype for x in row) for row in rows} == {(np.dtype("f8"), np.dtype("i4"), np.dtype("f4"))}
+    wide = fit([(s, b.astype(np.int64), w.astype(np.float64)) for s, b, w in rows], labels, 20)
+    assert np.array_equal(model.linear, wide.linear) and np.array_equal(model.factors, wide.factors) and model.bias == wide.bias
+
+
 def test_held_out_accuracy_and_whole_table(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = {r.doc_id: r for r in quality.query(spark, SF).collect()}

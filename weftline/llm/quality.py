@@ -167,12 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     kind = chosen.schema["__doc"].dataType.simpleString()
     table = chosen.mapInArrow(run, f"doc {kind}, label int, stats array<double>, buckets array<int>, weights array<float>").toArrow().sort_by([("doc", "ascending"), ("label", "ascending")])
     columns = []
-    for c in ("stats", "buckets", "weights"):  # slices of the Arrow values: no Python objects for the numbers
+    for c in ("stats", "buckets", "weights"):  # slices of the Arrow values, in their own types: no objects or copies of the numbers
         lists = pa.concat_arrays(table[c].chunks) if table.num_rows else pa.array([], table.schema.field(c).type)
         values, bounds = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
         columns.append([values[i:j] for i, j in pairwise(bounds)])
-    rows = [(s, b.astype(np.int64), w.astype(np.float64)) for s, b, w in zip(*columns, strict=True)]
-    return fit(rows, table["label"].to_numpy().astype(float))
+    marks = table["label"].to_numpy().astype(float)
+    model = fit(list(zip(*columns, strict=True)), marks)
+    del table, columns, lists, values
+    pa.default_memory_pool().release_unused()  # the driver keeps the model alone
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
